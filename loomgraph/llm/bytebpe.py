@@ -5,18 +5,20 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from array import array
 from functools import cache
+from operator import itemgetter
 
-import numpy as np
 from pyspark.sql import DataFrame
 
 from .common import map_arrow, two_columns
-from .prefixbpe import PrefixTable, Recent, Vocabulary
+from .prefixbpe import PrefixTable, Recent, Vocabulary, groups
 
 #: Entries of each half of a worker's caches.
-CACHE = 150_000
+CACHE = 250_000
 #: Before a space that a non-space follows, no match of the pattern goes on; these are safe places to cut a text.
 _CUTS = re.compile(r" (?=\S)")
+_FIRST = itemgetter(0)
 
 
 class ByteBPE:
@@ -33,41 +35,55 @@ class ByteBPE:
         ranks = self.ids
         self.vocabulary = Vocabulary(ranks, lambda a, b: ranks.get(a + b), max(map(len, ranks)))
         self.find = regex.compile(pattern).findall
-        self.piece = Recent(self._piece, CACHE)
-        self.segment = Recent(self._segment, CACHE)
+        self.pieces = Recent(self._pieces, CACHE)
+        self.segments = Recent(self._segments, CACHE)
 
     def table(self, piece: bytes) -> PrefixTable:
         """The prefix table of one piece; it can be appended to and edited."""
         return PrefixTable(self.vocabulary, [piece[i : i + 1] for i in range(len(piece))])
 
-    def _piece(self, piece: str) -> bytes:
-        data = piece.encode("utf-8")
-        i = self.ids.get(data)  # as the library does, a piece that is a token is that token
-        ids = [i] if i is not None else [self.ids[t] for t in self.table(data).tokens()]
-        return np.array(ids, "<u4").tobytes()
+    def _pieces(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of each piece; in sorted order one table serves all, as neighbours share prefixes."""
+        out, table = {}, PrefixTable(self.vocabulary)
+        for piece in sorted(pieces):
+            data = piece.encode("utf-8")
+            i = self.ids.get(data)  # as the library does, a piece that is a token is that token
+            if i is None:
+                table.become([data[k : k + 1] for k in range(len(data))])
+                out[piece] = array("I", table.tokens()).tobytes()
+            else:
+                out[piece] = array("I", (i,)).tobytes()
+        return out
+
+    def _segments(self, segments: list[str]) -> dict[str, bytes]:
+        return dict(zip(segments, map(b"".join, self.pieces.all(list(map(self.find, segments)))), strict=True))
 
-    def _segment(self, segment: str) -> bytes:
-        return b"".join(map(self.piece, self.find(segment)))
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of whole texts as little-endian 32-bit integers; none for null."""
+        out: list[bytes] = []
+        for s, e in groups([len(t or "") for t in texts]):
+            out += map(b"".join, self.segments.all([_safe_cuts(t) if t else [] for t in texts[s:e]]))
+        return out
 
     def encode(self, text: str | None) -> bytes:
-        """Ids of the whole text as little-endian 32-bit integers; none for null."""
-        if not text:
-            return b""
-        chunks = text.split(" ")
-        if len(chunks) > 1:
-            if all(map(_starts, chunks[1:])):
-                chunks[1:] = map(" ".__add__, chunks[1:])
-            else:
-                at = [0, *(m.start() for m in _CUTS.finditer(text)), len(text)]
-                chunks = [text[s:e] for s, e in zip(at, at[1:], strict=False) if s < e]
-        return b"".join(self.segment.all(chunks))
+        return self.encode_all([text])[0]
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        return b"".join(map(self.tokens.__getitem__, array("I", ids)))
 
 
-def _starts(chunk: str) -> bool:
-    return bool(chunk) and not chunk[0].isspace()
+def _safe_cuts(text: str) -> list[str]:
+    """The text in parts that the pattern never matches across."""
+    chunks = text.split(" ")
+    if len(chunks) > 1:
+        if all(chunks[1:]) and not any(map(str.isspace, map(_FIRST, chunks[1:]))):
+            chunks[1:] = map(" ".__add__, chunks[1:])
+        else:
+            at = [0, *(m.start() for m in _CUTS.finditer(text)), len(text)]
+            chunks = [text[s:e] for s, e in zip(at, at[1:], strict=False)]
+        if not chunks[0]:
+            del chunks[0]
+    return chunks
 
 
 @cache
@@ -91,7 +107,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col="doc_id", text_col="
         for b in batches:
             for at in range(0, b.num_rows, 1000):
                 some = b.slice(at, 1000)
-                got = [own.encode(t) for t in some.column("text").to_pylist()]
+                got = own.encode_all(some.column("text").to_pylist())
                 cols = [some.column("doc_id"), pa.array([len(x) // 4 for x in got], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in got]), pa.array([hashlib.sha256(own.decode(x)).hexdigest() for x in got])]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 yield pa.RecordBatch.from_arrays(cols + [pa.array(got, pa.binary())] * ids, names + ["ids"] * ids)

@@ -15,18 +15,19 @@ from collections.abc import Callable, Sequence
 
 
 class Vocabulary:
-    """Symbols and tokens of one BPE file.
+    """Tokens of one BPE file.
 
-    join: concatenation of symbols to a token's key. rank(a, b): order in which
-    the neighbours a and b (keys) merge, or None. ids: token key to id.
+    ids: token key (the concatenation of its symbols) to id. rank(a, b): order
+    in which the neighbours a and b (keys) merge, or None.
     """
 
     MEMO = 400_000
 
     def __init__(self, ids: dict, rank: Callable, longest: int) -> None:
         self.ids, self.rank, self.longest = ids, rank, longest
-        self.suffixes = {t[k:] for t in ids for k in range(len(t))}  # a prefix's end outside these is no token's end
-        self._fit: dict = {}
+        #: Every end of a token, with its id if it is a token itself, else -1; a prefix's end outside these ends no token.
+        self.ends = {t[k:]: -1 for t in ids for k in range(1, len(t))} | ids
+        self.fit: dict[int, bool] = {}
 
     def merged(self, symbols: Sequence) -> list:
         """The encoding by its definition: merge the neighbours of lowest rank, leftmost first, until none merges."""
@@ -42,56 +43,68 @@ class Vocabulary:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def fits(self, left, left_symbols: Sequence, right, right_symbols: Sequence) -> bool:
-        """Whether token right may stand behind token left, or first if left is None."""
-        got = self._fit.get((left, right))
+    def fits(self, left: int, left_symbols: Sequence, right: int, right_symbols: Sequence) -> bool:
+        """Whether the token right may stand behind the token left, or come first if left is -1."""
+        key = (left + 1) << 32 | right
+        got = self.fit.get(key)
         if got is None:
-            if len(self._fit) >= self.MEMO:
-                self._fit.clear()
-            want = [right] if left is None else [left, right]
-            got = self._fit[left, right] = (left is None or self.fits(None, (), right, right_symbols)) and self.merged([*left_symbols, *right_symbols]) == want
+            if len(self.fit) >= self.MEMO:
+                self.fit.clear()
+            want = [_join(right_symbols)] if left < 0 else [_join(left_symbols), _join(right_symbols)]
+            got = self.fit[key] = self.merged([*left_symbols, *right_symbols]) == want
         return got
 
 
+def _join(symbols: Sequence):
+    return (b"" if symbols and isinstance(symbols[0], bytes) else "").join(symbols)
+
+
 class PrefixTable:
-    """For each prefix of a sequence of symbols its last token's length and its number of tokens."""
+    """For each prefix of a sequence of symbols the id and length of its last token, and its number of tokens."""
 
     def __init__(self, vocabulary: Vocabulary, symbols: Sequence = ()) -> None:
         self.v, self.symbols, self.raw, self.off = vocabulary, [], None, [0]
-        self.last: list[int] = [0]
-        self.count: list[int] = [0]
-        self.keys: list = [None]
+        self.last, self.count, self.ids = [0], [0], [-1]
         self.append(symbols)
 
     def append(self, symbols: Sequence) -> None:
         """Exact: what is stored of shorter prefixes stays as it is."""
         if not symbols:
             return
-        more = (b"" if isinstance(symbols[0], bytes) else "").join(symbols)
-        self.raw = more if self.raw is None else self.raw + more
+        more = _join(symbols)
+        raw = self.raw = more if self.raw is None else self.raw + more
+        v, own, off, last, count, ids = self.v, self.symbols, self.off, self.last, self.count, self.ids
+        ends, fit, longest, n = v.ends.get, v.fit.get, v.longest, len(own)
         for s in symbols:
-            self.symbols.append(s)
-            self.off.append(self.off[-1] + len(s))
-            self._extend()
-
-    def _extend(self) -> None:
-        v, raw, off, keys, n = self.v, self.raw, self.off, self.keys, len(self.last)
-        ids, suffixes, fit, end = v.ids, v.suffixes, v._fit, off[-1]
-        for j in range(n - 1, max(-1, n - 1 - v.longest), -1):
-            token = raw[off[j] : end]
-            if token not in suffixes:
-                break
-            if token in ids:
-                before = keys[j]
-                ok = fit.get((before, token))
-                if ok is None:
-                    ok = v.fits(before, self.symbols[j - self.last[j] : j], token, self.symbols[j:n])
-                if ok:
-                    self.last.append(n - j)
-                    self.count.append(self.count[j] + 1)
-                    keys.append(token)
-                    return
-        raise ValueError(f"no token ends with symbol {self.symbols[-1]!r}")
+            own.append(s)
+            end = off[-1] + len(s)
+            off.append(end)
+            n += 1
+            for j in range(n - 1, max(-1, n - 1 - longest), -1):
+                token = ends(raw[off[j] : end])
+                if token is None:
+                    j = -1
+                    break
+                if token >= 0:
+                    ok = fit((ids[j] + 1) << 32 | token)
+                    if ok is None:
+                        ok = v.fits(ids[j], own[j - last[j] : j], token, own[j:n])
+                    if ok:
+                        break
+            else:
+                j = -1
+            if j < 0:
+                raise ValueError(f"no token ends with symbol {s!r}")
+            last.append(n - j)
+            count.append(count[j] + 1)
+            ids.append(token)
+
+    def truncate(self, n: int) -> None:
+        """Keep the first n symbols."""
+        if n < len(self.symbols):
+            for x, k in ((self.symbols, n), (self.off, n + 1), (self.last, n + 1), (self.count, n + 1), (self.ids, n + 1)):
+                del x[k:]
+            self.raw = self.raw[: self.off[-1]] if n else None
 
     def edit(self, start: int, end: int, symbols: Sequence) -> int:
         """Replace symbols[start:end]; returns how many prefixes had to be computed again.
@@ -99,57 +112,100 @@ class PrefixTable:
         Once as many last tokens as a token may be long agree with those before
         the edit, all later ones do: each depends on that many only.
         """
-        tail, old_last, old_keys, old_count = self.symbols[end:], self.last[end + 1 :], self.keys[end + 1 :], self.count[end + 1 :]
-        del self.symbols[start:], self.last[start + 1 :], self.keys[start + 1 :], self.count[start + 1 :], self.off[start + 1 :]
-        self.raw = None if not start else self.raw[: self.off[-1]]
+        tail, last, ids, count = self.symbols[end:], self.last[end + 1 :], self.ids[end + 1 :], self.count[end + 1 :]
+        self.truncate(start)
         self.append(symbols)
         same = done = 0
         for k, s in enumerate(tail):
             self.append([s])
             done += 1
-            same = same + 1 if (self.last[-1], self.keys[-1]) == (old_last[k], old_keys[k]) else 0
+            same = same + 1 if (self.last[-1], self.ids[-1]) == (last[k], ids[k]) else 0
             if same > self.v.longest:
-                more = self.count[-1] - old_count[k]
-                for x in tail[k + 1 :]:
+                rest, more = tail[k + 1 :], self.count[-1] - count[k]
+                if rest:
+                    self.raw += _join(rest)
+                for x in rest:
                     self.symbols.append(x)
                     self.off.append(self.off[-1] + len(x))
-                if k + 1 < len(tail):
-                    self.raw += (b"" if isinstance(s, bytes) else "").join(tail[k + 1 :])
-                self.last += old_last[k + 1 :]
-                self.keys += old_keys[k + 1 :]
-                self.count += [c + more for c in old_count[k + 1 :]]
+                self.last += last[k + 1 :]
+                self.ids += ids[k + 1 :]
+                self.count += [c + more for c in count[k + 1 :]]
                 break
         return len(symbols) + done
 
-    def tokens(self, end: int | None = None) -> list:
-        """Token keys of the prefix of `end` symbols (all by default)."""
+    def become(self, symbols: Sequence) -> None:
+        """Make this the table of other symbols, keeping the prefix that they share."""
+        own, n = self.symbols, 0
+        for a, b in zip(own, symbols, strict=False):
+            if a != b:
+                break
+            n += 1
+        self.truncate(n)
+        self.append(symbols[n:])
+
+    def tokens(self, end: int | None = None) -> list[int]:
+        """Token ids of the prefix of `end` symbols (all by default)."""
         at, out = len(self.symbols) if end is None else end, []
         while at:
-            out.append(self.keys[at])
+            out.append(self.ids[at])
             at -= self.last[at]
         return out[::-1]
 
 
 class Recent:
-    """A dict of bounded size: when the young half is full it becomes the old half, and what is used of that moves back."""
+    """Values of a bounded number of keys, made for many keys at once.
 
-    def __init__(self, make: Callable, half: int) -> None:
-        self.make, self.half, self.young, self.old = make, half, {}, {}
+    When the young half is full it becomes the old half, and what is used of
+    that comes back.
+    """
 
-    def __call__(self, key):
-        got = self.young.get(key)
-        if got is None:
-            got = self.old.get(key)
+    def __init__(self, make_all: Callable, half: int) -> None:
+        self.make_all, self.half, self.young, self.old = make_all, half, {}, {}
+
+    def all(self, lists: list[list]) -> list[list]:
+        """The values of the keys in each list, in order."""
+        need: set = set()
+        for keys in lists:
+            need.update(keys)
+        if len(self.young) >= self.half:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        missing = []
+        for k in need.difference(young):
+            got = old.get(k)
             if got is None:
-                got = self.make(key)
-            if len(self.young) >= self.half:
-                self.old, self.young = self.young, {}
-            self.young[key] = got
-        return got
+                missing.append(k)
+            else:
+                young[k] = got
+        if missing:
+            young.update(self.make_all(missing))
+        return [list(map(young.__getitem__, keys)) for keys in lists]
 
-    def all(self, keys: list) -> list:
-        """The values of keys in order."""
-        got = list(map(self.young.get, keys))
-        if None in got:
-            got = [self(k) if v is None else v for k, v in zip(keys, got, strict=True)]
-        return got
+
+def groups(sizes: list[int], most: int = 4 << 20, rows: int = 1000):
+    """(start, end) of neighbours that add up to about `most`."""
+    start = total = 0
+    for k, n in enumerate(sizes):
+        if k > start and (total + n > most or k - start >= rows):
+            yield start, k
+            start, total = k, 0
+        total += n
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
+def plain(word: str) -> bool:
+    """Only letters below U+0250 but U+0130: already composed, lower-cased one by one, and one word for a pre-tokenizer."""
+    return word.isalpha() and max(word) < "\u0250" and "\u0130" not in word
+
+
+def letter_table(library) -> dict[int, str]:
+    """For str.translate: what the library's pre-tokenizer makes of each letter that plain() allows."""
+    cut = library.pre_tokenizer.pre_tokenize_str
+    return {k: "".join(piece for piece, _ in cut(chr(k))) for k in range(0x250) if plain(chr(k))}
+
+
+def lowers_letters(spec: dict) -> bool:
+    """Whether the file composes, drops white space, lower-cases and cuts words at what aren't letters, and nothing else."""
+    kinds = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
+    return kinds == ["NFC", "Replace", "Lowercase"] and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in spec["added_tokens"])

@@ -12,21 +12,21 @@ from __future__ import annotations
 
 import json
 import struct
-import unicodedata
 import uuid
 import zlib
+from array import array
 from functools import cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, scratch, shuffle_partitions, two_columns
-from .prefixbpe import Recent
+from .common import map_arrow, raw_texts, scratch, shuffle_partitions, two_columns
+from .prefixbpe import Recent, groups, letter_table, lowers_letters, plain
 
 MAGIC = b"LGPLANE1"
 BLOCK = 1 << 16
-CACHE = 300_000
+CACHE = 400_000
 END_ID = 2
 
 
@@ -162,8 +162,9 @@ class LibraryEncoder:
     ASCII white space ends a word in the file's normaliser and pre-tokenizer
     and is no token, so the library encodes each chunk between it alone; what
     it gave for a chunk is kept in a bounded cache. A chunk of letters and one
-    closing `.` or `,` is two words for the pre-tokenizer, and ASCII letters
-    are lower-cased by it one by one, so such chunks share entries.
+    closing `.` or `,` is two words for the pre-tokenizer. Letters below U+0250
+    (but U+0130) are already composed and lower-cased one by one, so a chunk of
+    these goes straight to the library's model, in the pre-tokenizer's letters.
     """
 
     def __init__(self, path: str) -> None:
@@ -174,24 +175,43 @@ class LibraryEncoder:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        kinds = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
-        if kinds != ["NFC", "Replace", "Lowercase"] or spec["added_tokens"] and any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in spec["added_tokens"]):
+        if not lowers_letters(spec):
             raise ValueError("only files that lower-case, drop white space and have plain added tokens are supported")
         self.library = Tokenizer.from_file(path)
-        self.chunk = Recent(self._chunk, CACHE)
-
-    def _chunk(self, chunk: bytes) -> bytes:
-        if chunk[-1:] in (b".", b",") and len(chunk) > 1:
-            word = chunk[:-1].decode("utf-8", "replace")
-            if word.isalpha() and unicodedata.normalize("NFC", word).lower().isalpha():  # not so for a letter that becomes one with a mark
-                return self.chunk(chunk[:-1]) + self.chunk(chunk[-1:])
-        if chunk.isalpha() and not chunk.islower():
-            return self.chunk(chunk.lower())
-        return np.array(self.library.encode(chunk.decode("utf-8"), add_special_tokens=False).ids, "<u4").tobytes()
+        self.word = self.library.model.tokenize
+        self.letters = letter_table(self.library)
+        self.chunks = Recent(self._chunks, CACHE)
+
+    def _chunks(self, chunks: list[bytes]) -> dict[bytes, bytes]:
+        own, out = {}, {}
+
+        def ids(chunk: bytes) -> bytes:
+            got = own.get(chunk)
+            if got is None:
+                text = chunk.decode("utf-8")
+                if plain(text):
+                    got = array("I", [t.id for t in self.word(text.lower().translate(self.letters))]).tobytes()
+                else:
+                    got = array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+                own[chunk] = got
+            return got
+
+        for c in chunks:
+            if c[-1:] in (b".", b",") and len(c) > 1 and plain(c[:-1].decode("utf-8", "replace")):
+                out[c] = ids(c[:-1]) + ids(c[-1:])
+            else:
+                out[c] = ids(c)
+        return out
+
+    def encode_all(self, texts: list[bytes | None]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of whole texts."""
+        out: list[bytes] = []
+        for s, e in groups([len(t or b"") for t in texts]):
+            out += map(b"".join, self.chunks.all([(t or b"").split() for t in texts[s:e]]))
+        return out
 
     def encode(self, text: bytes | None) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        return b"".join(self.chunk.all((text or b"").split()))
+        return self.encode_all([text])[0]
 
 
 @cache
@@ -233,8 +253,10 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int = END_ID, mode: s
                 store.create_dir(base, recursive=True)
                 out = store.open_output_stream(temporary)
                 writer = PlaneWriter(out, mode)
-            for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), strict=True):
-                writer.add(i, own.encode(t) + tail)
+            for at in range(0, b.num_rows, 1000):
+                some = b.slice(at, 1000)
+                for i, ids in zip(some.column("doc_id").to_pylist(), own.encode_all(raw_texts(some.column("text"))), strict=True):
+                    writer.add(i, ids + tail)
         if writer is not None:
             footer = writer.close()
             out.close()

@@ -9,14 +9,16 @@ from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_right
 from functools import cache
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 
 from .common import map_arrow, raw_texts, two_columns
-from .prefixbpe import PrefixTable, Recent, Vocabulary
+from .prefixbpe import PrefixTable, Recent, Vocabulary, groups, letter_table, lowers_letters, plain
 
-CACHE = 200_000
+CACHE = 400_000
 
 
 class TokenCounter:
@@ -28,8 +30,8 @@ class TokenCounter:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, library = spec["model"], Tokenizer.from_file(path)
-        if model["type"] != "BPE" or any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "byte_fallback", "ignore_merges")) or any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in spec["added_tokens"]):
-            raise ValueError("only plain BPE files with merges and plain added tokens are supported")
+        if model["type"] != "BPE" or any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "byte_fallback", "ignore_merges")) or not lowers_letters(spec):
+            raise ValueError("only plain BPE files with merges that lower-case, drop white space and have plain added tokens are supported")
         self.end = model.get("end_of_word_suffix") or ""
         order = {tuple(m.split(" ") if isinstance(m, str) else m): k for k, m in enumerate(model["merges"])}
         self.vocabulary = Vocabulary(model["vocab"], lambda a, b: order.get((a, b)), max(map(len, model["vocab"])))
@@ -37,53 +39,66 @@ class TokenCounter:
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.normal = library.normalizer.normalize_str if library.normalizer else str
         self.cut = library.pre_tokenizer.pre_tokenize_str
-        self.word = Recent(self._word, CACHE)
-        self.chunk = Recent(self._chunk, CACHE)
+        self.letters = letter_table(library)
+        self.words = Recent(self._words, CACHE)
+        self.chunks = Recent(self._chunks, CACHE)
 
     def table(self, word: str) -> PrefixTable:
         """Prefix table of one word as the pre-tokenizer gives it."""
-        return PrefixTable(self.vocabulary, [*word[:-1], word[-1] + self.end])
-
-    def _word(self, word: str) -> int:
-        return self.table(word).count[-1]
-
-    def _chunk(self, chunk: bytes) -> int:
-        return sum(n for n, _ in self.words(chunk.decode("utf-8")))
-
-    def words(self, text: str):
-        """(tokens, characters up to its end) of each word and added token of a text. Positions are those of the normalised text between added tokens."""
-        at, parts = 0, []
-        for m in self.added.finditer(text) if self.added else ():
-            parts += [(text[at : m.start()], None), (None, m.end())]
-            at = m.end()
-        for plain, end in [*parts, (text[at:], None)]:
-            if plain is None:
-                yield 1, end
-            elif plain:
-                for w, (_, e) in self.cut(self.normal(plain)):
-                    yield self.word(w), e
+        return PrefixTable(self.vocabulary, self._symbols(word))
+
+    def _symbols(self, word: str) -> list[str]:
+        return [*word[:-1], word[-1] + self.end]
+
+    def _words(self, words: list[str]) -> dict[str, int]:
+        """Count of each word; in sorted order one table serves all, as neighbours share prefixes."""
+        out, table = {}, PrefixTable(self.vocabulary)
+        for w in sorted(words):
+            table.become(self._symbols(w))
+            out[w] = table.count[-1]
+        return out
+
+    def _chunks(self, chunks: list[bytes]) -> dict[bytes, int]:
+        lists, added = [], []
+        for c in chunks:
+            text, n = c.decode("utf-8"), 0
+            word = text[:-1] if text[-1] in ".," and len(text) > 1 else text
+            if plain(word):  # what the normaliser and the pre-tokenizer make of it, without asking them
+                lists.append([word.lower().translate(self.letters), *text[len(word) :]])
+                added.append(0)
+                continue
+            parts = [text]
+            if self.added and self.added.search(text):
+                parts, n = self.added.split(text), len(self.added.findall(text))
+            lists.append([w for plain in parts if plain for w, _ in self.cut(self.normal(plain))])
+            added.append(n)
+        return {c: sum(counts) + n for c, counts, n in zip(chunks, self.words.all(lists), added, strict=True)}
+
+    def count_all(self, texts: list[bytes | None]) -> list[int]:
+        """Tokens of whole texts. ASCII white space ends words in these files and is no token, so chunks between it count by themselves."""
+        out: list[int] = []
+        for s, e in groups([len(t or b"") for t in texts]):
+            out += map(sum, self.chunks.all([(t or b"").split() for t in texts[s:e]]))
+        return out
 
     def count(self, text: bytes | None) -> int:
-        """Tokens of the whole text. ASCII white space ends words in every such file and is no token, so chunks between it count by themselves."""
-        return sum(self.chunk.all((text or b"").split()))
+        return self.count_all([text])[0]
 
     def prefix_counts(self, text: bytes | None) -> list[int]:
         """Exact count of the prefix that ends with each white-space separated chunk."""
-        out, n = [], 0
-        for k in self.chunk.all((text or b"").split()):
-            n += k
-            out.append(n)
-        return out
+        return list(accumulate(self.chunks.all([(text or b"").split()])[0]))
 
     def truncate(self, text: bytes, budget: int) -> bytes:
-        """The longest prefix of whole chunks with at most budget tokens."""
-        at = n = 0
-        for m in re.finditer(rb"\S+", text):
-            n += self.chunk(m[0])
-            if n > budget:
+        """The longest prefix of whole chunks with at most budget tokens; the whole text if it fits."""
+        fit = bisect_right(counts := self.prefix_counts(text), budget)
+        if fit == len(counts):
+            return text
+        end = 0
+        for k, m in enumerate(re.finditer(rb"[^\x20\x09-\x0D]+", text)):
+            if k == fit:
                 break
-            at = m.end()
-        return text[:at] if n > budget else text
+            end = m.end()
+        return text[:end]
 
 
 @cache
@@ -101,7 +116,7 @@ def counts(docs: DataFrame, path: str, limit: int = 2048, id_col="doc_id", text_
         own = counter(path)
         for b in batches:
             texts = raw_texts(b.column("text"))
-            n = [own.count(t) for t in texts]
+            n = own.count_all(texts)
             cols = [b.column("doc_id"), pa.array([len(t or b"") for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
