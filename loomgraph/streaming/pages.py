@@ -123,7 +123,7 @@ def ingest(stream: DataFrame, folder: str, checkpoint: str, **trigger):
 
 def windowed_events(events: DataFrame, size: str = "1 day", late: str = "1 hour") -> DataFrame:
     """Count and value of events per window and type; works on a stream (with a watermark) and on a table. An extension."""
-    e = events.withWatermark("ts", late) if events.isStreaming else events
+    e = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
     return e.groupBy(F.window("ts", size), "event_type").agg(F.count("ts").alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", "total")
 
 
