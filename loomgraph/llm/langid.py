@@ -21,6 +21,8 @@ from .common import map_arrow, two_columns
 UND = "und"
 #: Code points handled at once; longer texts are cut with an overlap, which loses no n-gram.
 PIECE = 1 << 20
+#: Times the wanted sample that passes the first, hash-bounded choice.
+OVERSAMPLE = 16
 
 
 def has_letter(text: str | None) -> bool:
@@ -120,13 +122,19 @@ def fit(docs: DataFrame, learn: Column, id_col="doc_id", text_col="text", lang_c
     """Learn from rows where `learn` holds and text, id and language aren't null.
 
     The sample is bounded: of each language the per_lang rows with the smallest
-    hash of the id, of which the first marks_per_lang are landmarks. Texts are
+    hash of the id (fewer if most of a language's texts are null or without a
+    letter), of which the first marks_per_lang are landmarks. Texts are
     whole. Rows of the sample reach the driver as kernel values only; the
     landmarks' texts come whole. No labelled row: a model that says `und`.
     """
     rows = docs.where(learn).select(F.col(id_col).cast("bigint").alias("i"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("l")).where("i IS NOT NULL AND t IS NOT NULL AND l IS NOT NULL AND t RLIKE '\\\\p{L}'")
-    order = Window.partitionBy("l").orderBy(F.xxhash64("i"), "i")
-    chosen = rows.select("i", "l").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_lang).dropDuplicates(["i"])
+    ids, by_hash = rows.select("i", "l"), F.xxhash64("i")
+    # Hashes that could be among the smallest: OVERSAMPLE times as many as wanted, so that a language's one task gets as many rows at any size.
+    known = docs.where(learn).select(F.col(lang_col).cast("string").alias("l")).where("l IS NOT NULL").groupBy("l").agg(F.count("l").alias("n"))
+    share = F.least(F.lit(1.0), F.lit(float(OVERSAMPLE * per_lang)) / F.col("n"))
+    known = known.select(F.col("l").alias("kl"), (F.lit(-(2.0**63)) + share * F.lit(2.0**64)).alias("most"))
+    low = ids.join(F.broadcast(known), F.col("l") == F.col("kl")).where(by_hash.cast("double") <= F.col("most"))  # a row a language
+    chosen = low.select("i", "l").withColumn("rank", F.row_number().over(Window.partitionBy("l").orderBy(by_hash, "i"))).where(F.col("rank") <= per_lang).dropDuplicates(["i"])
     sample = rows.drop("l").join(F.broadcast(chosen), "i").dropDuplicates(["i"])  # per_lang rows a language: a bound that doesn't grow
     marks = sorted((r for r in sample.where(F.col("rank") <= marks_per_lang).collect()), key=lambda r: (r.l, r["rank"]))
     if not marks:
