@@ -10,6 +10,7 @@ distance, and returns one link per fingerprint, to its root in the shard.
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -24,13 +25,13 @@ RADIUS = 2
 HOT_SHARD = 4096
 
 
-def fingerprint(text: bytes | None, words: int = 3) -> int:
-    """Unsigned 64-bit SimHash of the UTF-8 text's shingles; 0 without words."""
+def shingle_hashes(text: bytes | None, words: int) -> np.ndarray:
+    """XXH64 (seed 42) of every shingle of the lower-cased UTF-8 text, repeats included; of the whole sequence if it has fewer words."""
     import xxhash
 
     parts = (text or b"").translate(ASCII_LOWER).split()  # bytes.split() cuts at \x20 and \x09-\x0D
     if not parts:
-        return 0
+        return np.zeros(0, np.uint64)
     joined, ends, starts, at = b" ".join(parts), [], [], 0
     for p in parts:
         starts.append(at)
@@ -41,12 +42,21 @@ def fingerprint(text: bytes | None, words: int = 3) -> int:
     else:
         starts, ends = [0], [len(joined)]
     of = xxhash.xxh64_intdigest
-    hashes = np.fromiter((of(joined[s:e], 42) for s, e in zip(starts, ends)), np.uint64, len(ends))  # noqa: B905 - the last starts have no shingle
+    return np.fromiter((of(joined[s:e], 42) for s, e in zip(starts, ends)), np.uint64, len(ends))  # noqa: B905 - the last starts have no shingle
+
+
+def _majority(hashes: np.ndarray) -> bytes:
+    """Big-endian 64 bits, each 1 if set in over half of the hashes."""
     counts = np.zeros(64, np.int64)
     for k in range(0, len(hashes), 1 << 16):
         some = hashes[k : k + (1 << 16)].astype(">u8")
         counts += np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(counts * 2 > len(hashes)).tobytes(), "big")
+    return np.packbits(counts * 2 > len(hashes)).tobytes()
+
+
+def fingerprint(text: bytes | None, words: int = 3) -> int:
+    """Unsigned 64-bit SimHash of the UTF-8 text's shingles; 0 without words."""
+    return int.from_bytes(_majority(shingle_hashes(text, words)), "big")
 
 
 def fingerprints(docs: DataFrame, id_col="doc_id", text_col="text", words: int = 3) -> DataFrame:
@@ -68,24 +78,31 @@ class BKTree:
     def __init__(self) -> None:
         self.root: list | None = None
 
-    def add_and_find(self, value: int, radius: int) -> list[int]:
-        """The values within radius that were added before; then adds value."""
-        if self.root is None:
-            self.root = [value, {}]
-            return []
-        found, stack = [], [self.root]
+    def find(self, value: int, radius: int):
+        """The values within radius, one by one."""
+        stack = [self.root] if self.root else []
         while stack:
             at, children = stack.pop()
             d = (at ^ value).bit_count()
             if d <= radius:
-                found.append(at)
+                yield at
             if children:
                 stack += [children[k] for k in range(d - radius, d + radius + 1) if k in children]
+
+    def add(self, value: int) -> None:
+        if self.root is None:
+            self.root = [value, {}]
+            return
         node = self.root
         while (d := (node[0] ^ value).bit_count()) and d in node[1]:
             node = node[1][d]
         if d:
             node[1][d] = [value, {}]
+
+    def add_and_find(self, value: int, radius: int) -> list[int]:
+        """The values within radius that were added before; then adds value."""
+        found = list(self.find(value, radius))
+        self.add(value)
         return found
 
 
@@ -190,8 +207,153 @@ def hex_fingerprint(c):
     return F.lower(F.lpad(F.hex(c), 16, "0"))
 
 
-def surplus(docs: DataFrame, id_col="doc_id", text_col="text", words: int = 3) -> DataFrame:
-    """(doc_id) of rows that aren't the one document that stays of their group, the one with the smallest id."""
-    return near_duplicates(docs, id_col, text_col, words).where("doc_id <> component_id").select("doc_id")
+# Similar documents: wide fingerprints, shards of documents that share least shingle hashes
+
+#: 64-bit words of a wide fingerprint.
+WIDE = 4
+#: Shards of a document, and least hashes that make the key of one.
+BANDS, ROWS = 10, 3
+_ODD = np.random.default_rng(42).integers(1, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def radius_of(similarity: float, bits: int = 64 * WIDE) -> int:
+    """Bits within which all but a few in 100,000 pairs of shingle sets of this Jaccard similarity lie: the expected number and four standard deviations."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return round(bits * p + 4 * math.sqrt(bits * p * (1 - p)))
+
+
+def wide_signature(text: bytes | None, words: int = 5) -> tuple[bytes, list[int]]:
+    """(fingerprint of 64 * WIDE bits, BANDS shard keys) of the set of the text's shingles; zeros and no keys without words."""
+    import xxhash
+
+    h = np.unique(shingle_hashes(text, words))
+    if not len(h):
+        return bytes(8 * WIDE), []
+    fp = _majority(h)
+    for k in range(1, WIDE):
+        x = (h + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        fp += _majority(x ^ (x >> np.uint64(31)))
+    least = np.array([(h * odd).min() for odd in _ODD], "<u8").reshape(BANDS, ROWS)
+    return fp, [xxhash.xxh64_intdigest(row.tobytes(), k) - (1 << 63) for k, row in enumerate(least)]
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two sorted arrays without repeats."""
+    if not len(a) or not len(b):
+        return 0.0
+    at = np.searchsorted(b, a)
+    at[at == len(b)] = 0
+    both = int((b[at] == a).sum())
+    return both / (len(a) + len(b) - both)
+
+
+def groups_of(values, radius: int, same=lambda i, j: True) -> list[tuple[int, int]]:
+    """Links (id, other id) that join what hangs together among (id, wide fingerprint): pairs within the radius for which same() holds.
+
+    A search ends once it has met all groups there are, so a group of copies
+    costs a step for each. A value within a quarter of the radius of one that it
+    is linked to stands behind that one and isn't inserted: a tree grows with
+    the different texts, not with their copies.
+    """
+    tree, owner, parent, groups, out = BKTree(), {}, {}, 0, []
+
+    def top(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for i, v in values:
+        met: set[int] = set()
+        near = False
+        for other in tree.find(v, radius):
+            root, close = top(other), (other ^ v).bit_count() * 8 <= radius
+            if (root not in met or close and not near) and same(i, owner[other]):
+                near = near or close
+                if root not in met:
+                    met.add(root)
+                    out.append((i, owner[other]))
+            if len(met) == groups:
+                break
+        if not near:
+            tree.add(v)
+            owner[v] = i
+            parent[v] = v
+            met.add(v)
+            groups += 1
+        roots = sorted(met)
+        for r in roots[1:]:
+            parent[r] = roots[0]
+        groups -= len(roots) - 1
+    return out
+
+
+def _each_group(keyed: DataFrame, row, links_of) -> DataFrame:
+    """(a, b): links_of(list of row(columns but the first)) for each run of equal first columns; keyed is sorted by it."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        key, values = None, []
+
+        def linked():
+            got = links_of(values) if len(values) > 1 else []
+            return [pa.RecordBatch.from_arrays([pa.array([x[k] for x in got], pa.int64()) for k in (0, 1)], ["a", "b"])] if got else []
+
+        for batch in batches:
+            raw = [raw_texts(c) if pa.types.is_string(c.type) or pa.types.is_large_string(c.type) else c.to_pylist() for c in batch.columns]
+            for k, *rest in zip(*raw, strict=True):
+                if k != key:
+                    yield from linked()
+                    key, values = k, []
+                values.append(row(*rest))
+        yield from linked()
+
+    return map_arrow(keyed, run, "a bigint, b bigint")
+
+
+def similar(docs: DataFrame, id_col="doc_id", text_col="text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, component_id) of every row; documents link whose shingle sets have a Jaccard similarity of `similarity` or more.
+
+    A document goes to BANDS shards, each named by ROWS least hashes of its
+    shingles: two documents of similarity s share a shard with probability
+    1 - (1 - s^ROWS)^BANDS (0.999 at 0.8), whatever the size of the corpus. In
+    a shard a BK-tree of wide fingerprints finds what lies within
+    radius_of(similarity). Only documents with such a candidate are read
+    again: a tree of each group of candidates compares their shingle sets.
+    Texts without words, and rows without an id, link to nothing and are their
+    own component; rows that share an id share its component. Rows of equal
+    fingerprints are one node, so copies count once before anything moves.
+    """
+
+    def signed(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            got = [wide_signature(t, words) for t in raw_texts(b.column("text"))]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([f for f, _ in got], pa.binary()), pa.array([k for _, k in got], pa.list_(pa.int64()))], ["doc_id", "fp", "keys"])
+
+    radius, parts, own = radius_of(similarity), shuffle_partitions(docs.sparkSession), two_columns(docs, id_col, text_col)
+    rows = cut(map_arrow(own, signed, "doc_id bigint, fp binary, keys array<bigint>"))
+    units = rows.where("doc_id IS NOT NULL AND size(keys) > 0").groupBy("fp").agg(F.min("doc_id").alias("id"), F.min_by("keys", "doc_id").alias("keys"))
+    dealt = units.select(F.explode("keys").alias("key"), "id", "fp").repartition(parts, "key").sortWithinPartitions("key", "id")
+    near = components(_each_group(dealt, lambda i, fp: (i, int.from_bytes(fp, "big")), lambda values: groups_of(values, radius)))
+
+    chosen = units.select("id", "fp").join(near, units["id"] == near["node"]).select("root", "id", "fp")
+    read = chosen.join(own, chosen["id"] == own["doc_id"]).select("root", "id", "fp", "text").repartition(parts, "root").sortWithinPartitions("root", "id")
+
+    def verified(values):
+        sets = {i: h for i, _, h in values}
+        return groups_of(((i, v) for i, v, _ in values), radius, lambda i, j: jaccard(sets[i], sets[j]) >= similarity)
+
+    roots = components(_each_group(read, lambda i, fp, text: (i, int.from_bytes(fp, "big"), np.unique(shingle_hashes(text, words))), verified))
+    by_fp = units.join(roots, units["id"] == roots["node"], "left").select(F.col("fp").alias("__fp"), F.coalesce("root", "id").alias("component_id"))
+    linked = rows.where("doc_id IS NOT NULL AND size(keys) > 0")
+    alone = rows.where("doc_id IS NULL OR size(keys) = 0").select("doc_id", F.col("doc_id").alias("component_id"))
+    return linked.join(by_fp, linked["fp"] == by_fp["__fp"]).select("doc_id", "component_id").unionByName(alone)
 
 
+def surplus(docs: DataFrame, id_col="doc_id", text_col="text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id) of rows that aren't the one document that stays of their group of similar ones, the one with the smallest id."""
+    return similar(docs, id_col, text_col, words, similarity).where("doc_id <> component_id").select("doc_id")

@@ -175,6 +175,51 @@ def test_simhash(docs, rows, no_docs):
     assert simhash.near_duplicates(no_docs).count() == 0
 
 
+def slow_similar(docs):
+    """{id: least id of its group} by the similarity of all pairs of sets of five-word shingles."""
+    sets = {}
+    for i, t in docs:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or ({tuple(w)} if w else set())
+    least = {i: i for i in sets}
+
+    def top(x):
+        while least[x] != x:
+            x = least[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]) > 0:
+                low, high = sorted((top(a), top(b)))
+                least[high] = low
+    return {i: top(i) for i in sets}
+
+
+def test_similar_documents(docs, rows, no_docs):
+    want = slow_similar([(i, t) for i, t, _ in rows if i is not None])
+    got = simhash.similar(docs).collect()
+    same(got, [(i, want.get(i)) for i, _, _ in rows])
+    assert simhash.similar(no_docs).count() == 0
+
+
+@pytest.mark.parametrize("edits", [1, 6])
+def test_similar_groups_of_edited_copies(spark, edits):
+    """Groups of up to 150 edited copies, some on this and some on that side of the threshold."""
+    rng = random.Random(edits)
+    texts = []
+    for size in (150, 20, 5, 2, 2, 2, 1, 1):
+        base = [f"w{rng.randrange(5000)}" for _ in range(300)]
+        for _ in range(size):
+            w = list(base)
+            for _ in range(rng.randint(0, edits)):
+                w[rng.randrange(300)] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(w))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(5)
+    got = {r.doc_id: r.component_id for r in simhash.similar(df).collect()}
+    assert got == slow_similar(list(enumerate(texts)))
+
+
 @pytest.mark.parametrize("hot", [4096, 3])
 def test_links_reach_everything_within_two_bits(spark, hot):
     rng = random.Random(3)
