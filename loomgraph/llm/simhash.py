@@ -213,6 +213,8 @@ def hex_fingerprint(c):
 WIDE = 4
 #: Shards of a document, and least hashes that make the key of one.
 BANDS, ROWS = 10, 3
+#: Groups of more members, or of more shingles, are dealt into blocks.
+HOT_GROUP, HOT_SIZE = 1024, 1 << 22
 _ODD = np.random.default_rng(42).integers(1, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -222,20 +224,32 @@ def radius_of(similarity: float, bits: int = 64 * WIDE) -> int:
     return round(bits * p + 4 * math.sqrt(bits * p * (1 - p)))
 
 
-def wide_signature(text: bytes | None, words: int = 5) -> tuple[bytes, list[int]]:
-    """(fingerprint of 64 * WIDE bits, BANDS shard keys) of the set of the text's shingles; zeros and no keys without words."""
+def wide_fingerprint(h: np.ndarray) -> bytes:
+    """64 * WIDE bits, each 1 if set in over half of the hashes as they are and as WIDE - 1 mixes make them."""
+    counts = np.zeros(64 * WIDE, np.int64)
+    for at in range(0, len(h), 255):  # as many as a byte counts
+        some = h[at : at + 255]
+        wide = np.empty((len(some), WIDE), ">u8")
+        wide[:, 0] = some
+        for k in range(1, WIDE):
+            x = (some + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            wide[:, k] = x ^ (x >> np.uint64(31))
+        counts += np.unpackbits(wide.view(np.uint8), axis=1).sum(0, dtype=np.uint8)
+    return np.packbits(counts * 2 > len(h)).tobytes()
+
+
+def shard_keys(h: np.ndarray) -> list[int]:
+    """BANDS keys, each of ROWS least hashes."""
     import xxhash
 
-    h = np.unique(shingle_hashes(text, words))
-    if not len(h):
-        return bytes(8 * WIDE), []
-    fp = _majority(h)
-    for k in range(1, WIDE):
-        x = (h + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        fp += _majority(x ^ (x >> np.uint64(31)))
-    least = np.array([(h * odd).min() for odd in _ODD], "<u8").reshape(BANDS, ROWS)
-    return fp, [xxhash.xxh64_intdigest(row.tobytes(), k) - (1 << 63) for k, row in enumerate(least)]
+    least = np.min([(h[at : at + 4096] * _ODD[:, None]).min(1) for at in range(0, len(h), 4096)], 0).astype("<u8").reshape(BANDS, ROWS)
+    return [xxhash.xxh64_intdigest(row.tobytes(), k) - (1 << 63) for k, row in enumerate(least)]
+
+
+def shingle_set(text: bytes | None, words: int = 5) -> np.ndarray:
+    """Sorted distinct hashes of the text's shingles."""
+    return np.unique(shingle_hashes(text, words))
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -248,13 +262,11 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def groups_of(values, radius: int, same=lambda i, j: True) -> list[tuple[int, int]]:
+def groups_of(values, radius: int, same=lambda v, other: True) -> list[tuple[int, int]]:
     """Links (id, other id) that join what hangs together among (id, wide fingerprint): pairs within the radius for which same() holds.
 
-    A search ends once it has met all groups there are, so a group of copies
-    costs a step for each. A value within a quarter of the radius of one that it
-    is linked to stands behind that one and isn't inserted: a tree grows with
-    the different texts, not with their copies.
+    Equal fingerprints link. A search ends once it has met all groups there
+    are, so a group of near copies costs a step for each.
     """
     tree, owner, parent, groups, out = BKTree(), {}, {}, 0, []
 
@@ -265,32 +277,29 @@ def groups_of(values, radius: int, same=lambda i, j: True) -> list[tuple[int, in
         return x
 
     for i, v in values:
+        if v in owner:
+            out.append((i, owner[v]))
+            continue
         met: set[int] = set()
-        near = False
-        for other in tree.find(v, radius):
-            root, close = top(other), (other ^ v).bit_count() * 8 <= radius
-            if (root not in met or close and not near) and same(i, owner[other]):
-                near = near or close
-                if root not in met:
+        if groups:
+            for other in tree.find(v, radius):
+                if (root := top(other)) not in met and same(v, other):
                     met.add(root)
                     out.append((i, owner[other]))
-            if len(met) == groups:
-                break
-        if not near:
-            tree.add(v)
-            owner[v] = i
-            parent[v] = v
-            met.add(v)
-            groups += 1
-        roots = sorted(met)
-        for r in roots[1:]:
-            parent[r] = roots[0]
-        groups -= len(roots) - 1
+                    if len(met) == groups:
+                        break
+        tree.add(v)
+        owner[v], parent[v] = i, v
+        for r in met:
+            parent[r] = v
+        groups += 1 - len(met)
     return out
 
 
-def _each_group(keyed: DataFrame, row, links_of) -> DataFrame:
-    """(a, b): links_of(list of row(columns but the first)) for each run of equal first columns; keyed is sorted by it."""
+def _each_group(dealt: DataFrame, row, links_of) -> DataFrame:
+    """(a, b): links_of(list of row(columns beyond the block's)) for each block of dealt (key, part, other, id, ...)."""
+    block = ["key", "part", "other"]
+    dealt = dealt.repartition(shuffle_partitions(dealt.sparkSession), *block).sortWithinPartitions(*block, "id")
 
     def run(batches):
         import pyarrow as pa
@@ -303,17 +312,66 @@ def _each_group(keyed: DataFrame, row, links_of) -> DataFrame:
 
         for batch in batches:
             raw = [raw_texts(c) if pa.types.is_string(c.type) or pa.types.is_large_string(c.type) else c.to_pylist() for c in batch.columns]
-            for k, *rest in zip(*raw, strict=True):
+            for *k, i, x in zip(*raw, strict=True):
                 if k != key:
                     yield from linked()
                     key, values = k, []
-                values.append(row(*rest))
+                values.append(row(i, x))
         yield from linked()
 
-    return map_arrow(keyed, run, "a bigint, b bigint")
+    return map_arrow(dealt, run, "a bigint, b bigint")
 
 
-def similar(docs: DataFrame, id_col="doc_id", text_col="text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+def _roots_of_groups(members: DataFrame, row, links_of, hot: int, hot_size: int, read=lambda placed: placed) -> DataFrame:
+    """(node, root) over the links that links_of finds within the groups of members (key, id, size, ...).
+
+    row(id, x) makes what links_of takes; x is a fourth column of members, or
+    what read() joins to them once they are placed.
+
+    A group of up to `hot` members, of up to `hot_size` together, is one block.
+    A larger one is dealt into blocks by a hash of the id, all of which get its
+    pivot, the member of least id. What isn't joined to the pivot by then, over
+    whatever links, is the rest: it meets every block, in blocks of its own if
+    it is large too. So each pair is either joined already or meets in a block,
+    no task holds more than two blocks, and only the rest is sent more than
+    once. Rows sent for a group: its members times the blocks of its rest.
+    """
+
+    more = [c for c in members.columns if c not in ("key", "id", "size")]
+
+    def run(placed: DataFrame) -> DataFrame:
+        return _each_group(read(placed), row, links_of)
+
+    def blocks(n: str, size: str):
+        return F.greatest(F.ceil(F.col(n) / hot), F.ceil(F.col(size) / hot_size)).cast("int").alias("blocks")
+
+    def block(of: str):
+        return F.pmod(F.xxhash64("id"), F.col(of)).cast("int")
+
+    def upto(of: str):
+        return F.sequence(F.lit(0), F.col(of) - 1)
+
+    zero = F.lit(0)
+    large = cut(members.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.min("id").alias("pivot")).where((F.col("n") > hot) | (F.col("size") > hot_size) & (F.col("n") > 1)).select("key", blocks("n", "size"), "pivot"))
+    if large.isEmpty():
+        return components(run(members.select("key", zero.alias("part"), zero.alias("other"), "id", *more)))
+    first = members.join(large, "key", "left").select("key", F.explode(F.when(F.col("blocks").isNull(), F.array(zero)).when(F.col("id") == F.col("pivot"), upto("blocks")).otherwise(F.array(block("blocks")))).alias("part"), zero.alias("other"), "id", *more)
+    links_ = cut(run(first))
+    roots = components(links_)
+    pivots = large.join(roots.withColumnsRenamed({"node": "pivot", "root": "main"}), "pivot", "left").select("key", "blocks", F.coalesce("main", "pivot").alias("main"))
+    held = members.join(pivots, "key").join(roots.withColumnRenamed("node", "id"), "id", "left")
+    held = cut(held.select("key", "id", "size", "blocks", *more, (F.coalesce("root", "id") != F.col("main")).alias("rest")))
+    if held.where("rest").isEmpty():
+        return roots
+    rests = held.where("rest").groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("size")).select("key", blocks("n", "size").alias("others"))
+    cell = lambda part, other: F.struct(part.alias("part"), other.alias("other"))
+    across = F.transform(upto("others"), lambda k: cell(block("blocks"), k))
+    along = F.when(F.col("rest"), F.transform(upto("blocks"), lambda k: cell(k, block("others")))).otherwise(F.slice(across, 1, 0))
+    second = held.join(rests, "key").select("key", F.explode(F.array_union(across, along)).alias("c"), "id", *more).select("key", "c.part", "c.other", "id", *more)
+    return components(links_.unionByName(run(second)))
+
+
+def similar(docs: DataFrame, id_col="doc_id", text_col="text", words: int = 5, similarity: float = 0.8, hot: int = HOT_GROUP, hot_size: int = HOT_SIZE) -> DataFrame:
     """(doc_id, component_id) of every row; documents link whose shingle sets have a Jaccard similarity of `similarity` or more.
 
     A document goes to BANDS shards, each named by ROWS least hashes of its
@@ -321,7 +379,8 @@ def similar(docs: DataFrame, id_col="doc_id", text_col="text", words: int = 5, s
     1 - (1 - s^ROWS)^BANDS (0.999 at 0.8), whatever the size of the corpus. In
     a shard a BK-tree of wide fingerprints finds what lies within
     radius_of(similarity). Only documents with such a candidate are read
-    again: a tree of each group of candidates compares their shingle sets.
+    again: trees over each group of candidates compare their shingle sets.
+    Large shards and groups are dealt into blocks (_roots_of_groups).
     Texts without words, and rows without an id, link to nothing and are their
     own component; rows that share an id share its component. Rows of equal
     fingerprints are one node, so copies count once before anything moves.
@@ -331,26 +390,31 @@ def similar(docs: DataFrame, id_col="doc_id", text_col="text", words: int = 5, s
         import pyarrow as pa
 
         for b in batches:
-            got = [wide_signature(t, words) for t in raw_texts(b.column("text"))]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([f for f, _ in got], pa.binary()), pa.array([k for _, k in got], pa.list_(pa.int64()))], ["doc_id", "fp", "keys"])
+            got = [(wide_fingerprint(h), shard_keys(h) if len(h) else [], len(h)) for h in (shingle_set(t, words) for t in raw_texts(b.column("text")))]
+            kinds = pa.binary(), pa.list_(pa.int64()), pa.int64()
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array([x[k] for x in got], kind) for k, kind in enumerate(kinds))], ["doc_id", "fp", "keys", "size"])
+
+    radius, own = radius_of(similarity), two_columns(docs, id_col, text_col)
+    rows = cut(map_arrow(own, signed, "doc_id bigint, fp binary, keys array<bigint>, size bigint"))
+    linked = rows.where("doc_id IS NOT NULL AND size > 0")
+    units = cut(linked.groupBy("fp").agg(F.min("doc_id").alias("id"), F.min_by(F.struct("keys", "size"), F.struct("doc_id", "size")).alias("of")).select("id", "fp", "of.*"))
+    shards = units.select(F.explode("keys").alias("key"), "id", F.lit(0).alias("size"), "fp")
+    near = _roots_of_groups(shards, lambda i, fp: (i, int.from_bytes(fp, "big")), lambda values: groups_of(values, radius), hot, 1)
 
-    radius, parts, own = radius_of(similarity), shuffle_partitions(docs.sparkSession), two_columns(docs, id_col, text_col)
-    rows = cut(map_arrow(own, signed, "doc_id bigint, fp binary, keys array<bigint>"))
-    units = rows.where("doc_id IS NOT NULL AND size(keys) > 0").groupBy("fp").agg(F.min("doc_id").alias("id"), F.min_by("keys", "doc_id").alias("keys"))
-    dealt = units.select(F.explode("keys").alias("key"), "id", "fp").repartition(parts, "key").sortWithinPartitions("key", "id")
-    near = components(_each_group(dealt, lambda i, fp: (i, int.from_bytes(fp, "big")), lambda values: groups_of(values, radius)))
+    sized = units.groupBy(F.col("id").alias("__id")).agg(F.max("size").alias("size"))  # rows that share an id can differ
+    members = cut(near.join(sized, near["node"] == F.col("__id")).select(F.col("root").alias("key"), F.col("node").alias("id"), "size"))
 
-    chosen = units.select("id", "fp").join(near, units["id"] == near["node"]).select("root", "id", "fp")
-    read = chosen.join(own, chosen["id"] == own["doc_id"]).select("root", "id", "fp", "text").repartition(parts, "root").sortWithinPartitions("root", "id")
+    def compared(i, text):
+        h = shingle_set(text, words)
+        return i, int.from_bytes(wide_fingerprint(h), "big"), h
 
     def verified(values):
-        sets = {i: h for i, _, h in values}
-        return groups_of(((i, v) for i, v, _ in values), radius, lambda i, j: jaccard(sets[i], sets[j]) >= similarity)
+        sets = {v: h for _, v, h in values}
+        return groups_of(((i, v) for i, v, _ in values), radius, lambda v, other: jaccard(sets[v], sets[other]) >= similarity)
 
-    roots = components(_each_group(read, lambda i, fp, text: (i, int.from_bytes(fp, "big"), np.unique(shingle_hashes(text, words))), verified))
+    roots = _roots_of_groups(members, compared, verified, hot, hot_size, lambda placed: placed.join(own, placed["id"] == own["doc_id"]).select(*placed.columns, "text"))
     by_fp = units.join(roots, units["id"] == roots["node"], "left").select(F.col("fp").alias("__fp"), F.coalesce("root", "id").alias("component_id"))
-    linked = rows.where("doc_id IS NOT NULL AND size(keys) > 0")
-    alone = rows.where("doc_id IS NULL OR size(keys) = 0").select("doc_id", F.col("doc_id").alias("component_id"))
+    alone = rows.where("doc_id IS NULL OR size = 0").select("doc_id", F.col("doc_id").alias("component_id"))
     return linked.join(by_fp, linked["fp"] == by_fp["__fp"]).select("doc_id", "component_id").unionByName(alone)
 
 

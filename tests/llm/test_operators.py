@@ -198,14 +198,14 @@ def slow_similar(docs):
 
 def test_similar_documents(docs, rows, no_docs):
     want = slow_similar([(i, t) for i, t, _ in rows if i is not None])
-    got = simhash.similar(docs).collect()
-    same(got, [(i, want.get(i)) for i, _, _ in rows])
+    for size in ((simhash.HOT_GROUP, simhash.HOT_SIZE), (2, 50)):
+        same(simhash.similar(docs, hot=size[0], hot_size=size[1]).collect(), [(i, want.get(i)) for i, _, _ in rows])
     assert simhash.similar(no_docs).count() == 0
 
 
-@pytest.mark.parametrize("edits", [1, 6])
-def test_similar_groups_of_edited_copies(spark, edits):
-    """Groups of up to 150 edited copies, some on this and some on that side of the threshold."""
+@pytest.mark.parametrize(("edits", "hot", "hot_size"), [(1, 1024, 1 << 22), (6, 1024, 1 << 22), (6, 8, 1 << 22), (12, 8, 1 << 22), (6, 1024, 2000)])
+def test_similar_groups_of_edited_copies(spark, edits, hot, hot_size):
+    """Groups of up to 150 edited copies, some on this and some on that side of the threshold, whole and dealt into blocks."""
     rng = random.Random(edits)
     texts = []
     for size in (150, 20, 5, 2, 2, 2, 1, 1):
@@ -216,7 +216,7 @@ def test_similar_groups_of_edited_copies(spark, edits):
                 w[rng.randrange(300)] = f"x{rng.randrange(10**6)}"
             texts.append(" ".join(w))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(5)
-    got = {r.doc_id: r.component_id for r in simhash.similar(df).collect()}
+    got = {r.doc_id: r.component_id for r in simhash.similar(df, hot=hot, hot_size=hot_size).collect()}
     assert got == slow_similar(list(enumerate(texts)))
 
 
