@@ -263,12 +263,12 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def groups_of(values, radius: int, same=lambda v, other: True) -> list[tuple[int, int]]:
-    """Links (id, other id) that join what hangs together among (id, wide fingerprint): pairs within the radius for which same() holds.
+    """(id, first id of its group) among (id, wide fingerprint); pairs within the radius for which same() holds make the groups.
 
-    Equal fingerprints link. A search ends once it has met all groups there
-    are, so a group of near copies costs a step for each.
+    Equal fingerprints belong together. A search ends once it has met all
+    groups there are, so a group of near copies costs a step for each.
     """
-    tree, owner, parent, groups, out = BKTree(), {}, {}, 0, []
+    tree, owner, order, parent, groups, out = BKTree(), {}, {}, {}, 0, []
 
     def top(x: int) -> int:
         while parent[x] != x:
@@ -285,15 +285,16 @@ def groups_of(values, radius: int, same=lambda v, other: True) -> list[tuple[int
             for other in tree.find(v, radius):
                 if (root := top(other)) not in met and same(v, other):
                     met.add(root)
-                    out.append((i, owner[other]))
                     if len(met) == groups:
                         break
         tree.add(v)
-        owner[v], parent[v] = i, v
+        owner[v], order[v] = i, len(order)
+        first = min(met, key=order.get, default=v)
+        parent[v] = first
         for r in met:
-            parent[r] = v
+            parent[r] = first
         groups += 1 - len(met)
-    return out
+    return out + [(owner[v], owner[r]) for v in owner if (r := top(v)) != v]
 
 
 def _each_group(dealt: DataFrame, row, links_of) -> DataFrame:
