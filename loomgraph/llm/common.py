@@ -55,10 +55,36 @@ def ship(spark: SparkSession) -> None:
         _shipped.add(sc.applicationId)
 
 
-def map_arrow(df: DataFrame, run, schema) -> DataFrame:
-    """mapInArrow, with this package at hand in the workers."""
+#: Rows that a step which holds Python copies of texts takes at a time.
+FEW = 512
+
+
+def give_back() -> None:
+    """Return a worker's free memory to the system: the worker waits for its next task, maybe of another step."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
+def map_arrow(df: DataFrame, run, schema, rows: int | None = None) -> DataFrame:
+    """mapInArrow, with this package at hand in the workers; run() gets slices of `rows` rows at most if given."""
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+
+    def slices(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, rows):
+                yield b.slice(at, rows)
+
+    def held(batches):
+        yield from run(slices(batches) if rows else batches)
+        give_back()
+
+    return df.mapInArrow(held, schema)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_arrow, raw_texts
+from .common import FEW, cut, map_arrow, raw_texts
 
 WINDOW = 10
 #: Bytes of benchmark text that one broadcast searcher covers; a larger benchmark is searched in blocks of so much.
@@ -143,7 +143,7 @@ def _search(marked: DataFrame, searcher, at: int) -> DataFrame:
             span = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
             yield pa.RecordBatch.from_arrays([*b.columns[:k], pa.array(counts, pa.int64()), pa.array(spans, span), pa.array(lists, pa.list_(pa.int64()))], b.schema.names)
 
-    return map_arrow(marked, run, marked.schema)
+    return map_arrow(marked, run, marked.schema, FEW)
 
 
 def report(docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="text", **options) -> DataFrame:

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, two_columns
+from .common import FEW, map_arrow, two_columns
 
 UND = "und"
 #: Code points handled at once; longer texts are cut with an overlap, which loses no n-gram.
@@ -186,7 +186,7 @@ def keep_known(docs: DataFrame, model: LanguageModel, min_score: float = 0.0, te
             langs, scores = shared.value.predict(b.column(at).to_pylist())
             yield b.filter(pa.array([x != UND and s >= min_score for x, s in zip(langs, scores, strict=True)], pa.bool_()))
 
-    return map_arrow(docs, run, docs.schema)
+    return map_arrow(docs, run, docs.schema, FEW)
 
 
 def held_out(id_col="doc_id") -> Column:

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, cut, map_arrow, raw_texts, shuffle_partitions, two_columns
+from .common import ASCII_LOWER, FEW, cut, map_arrow, raw_texts, shuffle_partitions, two_columns
 from .components import components
 
 RADIUS = 2
@@ -320,7 +320,7 @@ def _each_group(dealt: DataFrame, row, links_of) -> DataFrame:
                 values.append(row(i, x))
         yield from linked()
 
-    return map_arrow(dealt, run, "a bigint, b bigint")
+    return map_arrow(dealt, run, "a bigint, b bigint", FEW)
 
 
 def _roots_of_groups(members: DataFrame, row, links_of, hot: int, hot_size: int, read=lambda placed: placed) -> DataFrame:
@@ -396,7 +396,7 @@ def similar(docs: DataFrame, id_col="doc_id", text_col="text", words: int = 5, s
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array([x[k] for x in got], kind) for k, kind in enumerate(kinds))], ["doc_id", "fp", "keys", "size"])
 
     radius, own = radius_of(similarity), two_columns(docs, id_col, text_col)
-    rows = cut(map_arrow(own, signed, "doc_id bigint, fp binary, keys array<bigint>, size bigint"))
+    rows = cut(map_arrow(own, signed, "doc_id bigint, fp binary, keys array<bigint>, size bigint", FEW))
     linked = rows.where("doc_id IS NOT NULL AND size > 0")
     units = cut(linked.groupBy("fp").agg(F.min("doc_id").alias("id"), F.min_by(F.struct("keys", "size"), F.struct("doc_id", "size")).alias("of")).select("id", "fp", "of.*"))
     shards = units.select(F.explode("keys").alias("key"), "id", F.lit(0).alias("size"), "fp")
