@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .graph import PropertyGraph, RelTable
+from .graph import PropertyGraph
 from .operators import algorithms, mutate, paths, search
 from .operators.constraints import Constraints
 from .operators.nodeset import NodeSet
@@ -117,9 +117,8 @@ NEXT = "e AS (SELECT event_id, user_id AS src, lead(user_id) OVER (ORDER BY ts,
 SPARSE = f"{NEXT}, s AS (SELECT src, dst FROM x WHERE event_id % 40 = 0)"
 
 
-def _users(spark: SparkSession, sf: str, sparse: bool = False) -> PropertyGraph:
-    g = from_star_schema(spark, sf, ("User",))
-    return g.with_tables(rels=[RelTable(t.typ, t.df.where("id % 40 = 0"), t.start, t.end) for t in g.rel_tables]) if sparse else g
+def _users(spark: SparkSession, sf: str) -> PropertyGraph:
+    return from_star_schema(spark, sf, ("User",))
 
 
 def _user(df: DataFrame, *columns: str) -> DataFrame:
@@ -131,7 +130,7 @@ _LEVELS = f"WITH RECURSIVE {SPARSE}, l(id, depth) AS (SELECT DISTINCT dst, 1 FRO
 
 @_add("var_length_hops", f"{_LEVELS}, m AS (SELECT id, min(depth) AS depth FROM l GROUP BY 1) SELECT id AS user_id FROM m WHERE depth BETWEEN 2 AND 4")
 def var_length_hops(spark, sf):
-    return cypher(_users(spark, sf, True), "MATCH (a:User {user_id: 0})-[:NEXT*2..4]->(b:User) RETURN b.user_id AS user_id")
+    return cypher(_users(spark, sf), "MATCH (a:User {user_id: 0})-[:NEXT*2..4]->(b:User) RETURN b.user_id AS user_id")
 
 
 @_add("var_length_all_starts", f"WITH {NEXT} SELECT src AS a, count(DISTINCT dst) AS n FROM (SELECT src, dst FROM x UNION SELECT p.src, q.dst FROM x p JOIN x q ON p.dst = q.src WHERE p.src % 10 = 0) WHERE src % 10 = 0 GROUP BY 1")
@@ -146,27 +145,27 @@ def var_length_in(spark, sf):
 
 @_add("bfs_depths", f"{_LEVELS} SELECT 0 AS user_id, 0 AS depth UNION ALL SELECT id, min(depth) FROM l WHERE id <> 0 GROUP BY 1")
 def bfs_depths(spark, sf):
-    return _user(paths.bfs(_users(spark, sf, True).edges(), USER, 12))
+    return _user(paths.bfs(_users(spark, sf).edges(), USER, 12))
 
 
 @_add("undirected_bfs", f"WITH RECURSIVE {SPARSE}, u AS (SELECT src, dst FROM s UNION SELECT dst, src FROM s), l(id, depth) AS (SELECT 0, 0 UNION SELECT u.dst, l.depth + 1 FROM l JOIN u ON l.id = u.src WHERE l.depth < 3) SELECT id AS user_id, min(depth) AS depth FROM l GROUP BY 1")
 def undirected_bfs(spark, sf):
-    return _user(paths.bfs(_users(spark, sf, True).edges(directed=False), USER, 3))
+    return _user(paths.bfs(_users(spark, sf).edges(directed=False), USER, 3))
 
 
 @_add("shortest_path_counts", f"{_LEVELS.replace('UNION SELECT s.dst', 'UNION ALL SELECT s.dst').replace('DISTINCT ', '').replace('l.depth < 12', 'l.depth < 5')}, m AS (SELECT id, min(depth) AS depth FROM l WHERE id <> 0 GROUP BY 1) SELECT l.id AS user_id, l.depth, count(*) AS paths FROM l JOIN m ON l.id = m.id AND l.depth = m.depth GROUP BY 1, 2")
 def shortest_path_counts(spark, sf):
-    return _user(paths.shortest_tree(_users(spark, sf, True).edges(), USER, max_depth=5).where("depth > 0"), "id", "depth", "paths")
+    return _user(paths.shortest_tree(_users(spark, sf).edges(), USER, max_depth=5).where("depth > 0"), "id", "depth", "paths")
 
 
 @_add("cheapest_costs", f"{_LEVELS} SELECT 0 AS user_id, 0.0::DOUBLE AS cost UNION ALL SELECT id, min(depth)::DOUBLE FROM l WHERE id <> 0 GROUP BY 1 HAVING min(depth) <= 30")
 def cheapest_costs(spark, sf):
-    return _user(paths.cheapest(_users(spark, sf, True).edges(), USER), "id", "cost").where("cost <= 12")
+    return _user(paths.cheapest(_users(spark, sf).edges(), USER), "id", "cost").where("cost <= 12")
 
 
 @_add("simple_paths", f"WITH RECURSIVE {SPARSE}, d AS (SELECT DISTINCT src, dst FROM s), p(last, path, n) AS (SELECT 0, [0::BIGINT], 0 UNION ALL SELECT d.dst, list_append(p.path, d.dst), p.n + 1 FROM p JOIN d ON p.last = d.src WHERE p.n < 4 AND NOT list_contains(p.path, d.dst)) SELECT array_to_string(path, '>') AS path FROM p WHERE n >= 2")
 def simple_paths(spark, sf):
-    return paths.simple_paths(_users(spark, sf, True).edges(), USER, None, 2, 4).select(F.array_join(F.transform("nodes", lambda x: (x - F.lit(USER)).cast("string")), ">").alias("path"))
+    return paths.simple_paths(_users(spark, sf).edges(), USER, None, 2, 4).select(F.array_join(F.transform("nodes", lambda x: (x - F.lit(USER)).cast("string")), ">").alias("path"))
 
 
 # Algorithms
@@ -203,17 +202,17 @@ _CLOSURE = f"WITH RECURSIVE {SPARSE}, v AS (SELECT DISTINCT user_id AS id FROM e
 
 @_add("components", f"{_CLOSURE}, u AS (SELECT src, dst FROM s UNION SELECT dst, src FROM s), c(a, b) AS (SELECT id, id FROM v UNION SELECT c.a, u.dst FROM c JOIN u ON c.b = u.src) SELECT a AS user_id, min(b) AS component FROM c GROUP BY 1")
 def components(spark, sf):
-    return _user(algorithms.components(*_both(_users(spark, sf, True))))
+    return _user(algorithms.components(*_both(_users(spark, sf))))
 
 
 @_add("strong_components", f"{_CLOSURE}, c(a, b) AS (SELECT id, id FROM v UNION SELECT c.a, s.dst FROM c JOIN s ON c.b = s.src) SELECT p.a AS user_id, min(p.b) AS component FROM c p JOIN c q ON p.a = q.b AND p.b = q.a GROUP BY 1")
 def strong_components(spark, sf):
-    return _user(algorithms.strong_components(*_both(_users(spark, sf, True))))
+    return _user(algorithms.strong_components(*_both(_users(spark, sf))))
 
 
 @_add("strong_component_sizes", f"{_CLOSURE}, c(a, b) AS (SELECT id, id FROM v UNION SELECT c.a, s.dst FROM c JOIN s ON c.b = s.src), z AS (SELECT p.a, min(p.b) AS k FROM c p JOIN c q ON p.a = q.b AND p.b = q.a GROUP BY 1) SELECT size, count(*) AS n FROM (SELECT k, count(*) AS size FROM z GROUP BY 1) GROUP BY 1")
 def strong_component_sizes(spark, sf):
-    return algorithms.component_sizes(algorithms.strong_components(*_both(_users(spark, sf, True))))
+    return algorithms.component_sizes(algorithms.strong_components(*_both(_users(spark, sf))))
 
 
 def _lpa_sql(n: int = 4) -> str:
@@ -233,13 +232,13 @@ _TRI = f"WITH {SPARSE}, u AS (SELECT DISTINCT least(src, dst) AS a, greatest(src
 
 @_add("triangles", f"{_TRI} SELECT a, b, c FROM t")
 def triangles(spark, sf):
-    t = algorithms.triangles(_users(spark, sf, True).edges()).select(F.array_sort(F.array("a", "b", "c")).alias("t"))
+    t = algorithms.triangles(_users(spark, sf).edges()).select(F.array_sort(F.array("a", "b", "c")).alias("t"))
     return _user(t.select(F.col("t")[0].alias("a"), F.col("t")[1].alias("b"), F.col("t")[2].alias("c")))
 
 
 @_add("clustering", f"{_TRI}, v AS (SELECT DISTINCT user_id AS id FROM events), k AS (SELECT id, count(*) AS k FROM (SELECT a AS id FROM u UNION ALL SELECT b FROM u) GROUP BY 1), n AS (SELECT id, count(*) AS n FROM (SELECT a AS id FROM t UNION ALL SELECT b FROM t UNION ALL SELECT c FROM t) GROUP BY 1) SELECT v.id AS user_id, round(CASE WHEN k >= 2 THEN coalesce(n, 0) * 2.0 / (k * (k - 1)) ELSE 0 END, 9) AS coefficient FROM v LEFT JOIN k ON k.id = v.id LEFT JOIN n ON n.id = v.id")
 def clustering(spark, sf):
-    return _user(algorithms.clustering(*_both(_users(spark, sf, True)))).withColumn("coefficient", F.round("coefficient", 9))
+    return _user(algorithms.clustering(*_both(_users(spark, sf)))).withColumn("coefficient", F.round("coefficient", 9))
 
 
 @_add("k_core")
@@ -249,7 +248,7 @@ def k_core(spark, sf):
 
 @_add("betweenness")
 def betweenness(spark, sf):
-    return _user(algorithms.betweenness(*_both(_users(spark, sf, True)))).withColumn("centrality", F.round("centrality", 9))
+    return _user(algorithms.betweenness(*_both(_users(spark, sf)))).withColumn("centrality", F.round("centrality", 9))
 
 
 # Lookups
