@@ -145,7 +145,7 @@ def var_length_in(spark, sf):
 
 @_add("bfs_depths", f"{_LEVELS} SELECT 0 AS user_id, 0 AS depth UNION ALL SELECT id, min(depth) FROM l WHERE id <> 0 GROUP BY 1")
 def bfs_depths(spark, sf):
-    return _user(paths.bfs(_users(spark, sf).edges(), USER, 12))
+    return _user(paths.bfs(_users(spark, sf).edges(), USER))
 
 
 @_add("undirected_bfs", f"WITH RECURSIVE {SPARSE}, u AS (SELECT src, dst FROM s UNION SELECT dst, src FROM s), l(id, depth) AS (SELECT 0, 0 UNION SELECT u.dst, l.depth + 1 FROM l JOIN u ON l.id = u.src WHERE l.depth < 3) SELECT id AS user_id, min(depth) AS depth FROM l GROUP BY 1")
@@ -155,12 +155,12 @@ def undirected_bfs(spark, sf):
 
 @_add("shortest_path_counts", f"{_LEVELS.replace('UNION SELECT s.dst', 'UNION ALL SELECT s.dst').replace('DISTINCT ', '').replace('l.depth < 12', 'l.depth < 5')}, m AS (SELECT id, min(depth) AS depth FROM l WHERE id <> 0 GROUP BY 1) SELECT l.id AS user_id, l.depth, count(*) AS paths FROM l JOIN m ON l.id = m.id AND l.depth = m.depth GROUP BY 1, 2")
 def shortest_path_counts(spark, sf):
-    return _user(paths.shortest_tree(_users(spark, sf).edges(), USER, max_depth=5).where("depth > 0"), "id", "depth", "paths")
+    return _user(paths.shortest_tree(_users(spark, sf).edges(), USER).where("depth > 0"), "id", "depth", "paths")
 
 
 @_add("cheapest_costs", f"{_LEVELS} SELECT 0 AS user_id, 0.0::DOUBLE AS cost UNION ALL SELECT id, min(depth)::DOUBLE FROM l WHERE id <> 0 GROUP BY 1 HAVING min(depth) <= 30")
 def cheapest_costs(spark, sf):
-    return _user(paths.cheapest(_users(spark, sf).edges(), USER), "id", "cost").where("cost <= 12")
+    return _user(paths.cheapest(_users(spark, sf).edges(), USER), "id", "cost")
 
 
 @_add("simple_paths", f"WITH RECURSIVE {SPARSE}, d AS (SELECT DISTINCT src, dst FROM s), p(last, path, n) AS (SELECT 0, [0::BIGINT], 0 UNION ALL SELECT d.dst, list_append(p.path, d.dst), p.n + 1 FROM p JOIN d ON p.last = d.src WHERE p.n < 4 AND NOT list_contains(p.path, d.dst)) SELECT array_to_string(path, '>') AS path FROM p WHERE n >= 2")

@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from loomgraph import catalog
+from loomgraph.graph import PropertyGraph
 
 SF = "/root/testdata/sf0.001"
 
@@ -75,3 +76,17 @@ def test_algorithms_use_every_edge(spark, next_edges):
             while (x := parent[x]) != s:
                 score[x] += 1
     assert got(spark, "betweenness") == sorted((u, round(score[u] / ((n - 1) * (n - 2)), 9)) for u in users)
+
+
+def chain(spark, n):
+    """n users, each followed by the next."""
+    at = catalog.USER
+    return PropertyGraph.of(spark, [(at + k, "User", {"user_id": k}) for k in range(n)], [(k, at + k, at + k + 1, "NEXT", {}) for k in range(n - 1)])
+
+
+def test_paths_have_no_last_depth(spark, monkeypatch):
+    g = chain(spark, 16)
+    monkeypatch.setattr(catalog, "_users", lambda spark, sf: g)
+    assert got(spark, "bfs_depths") == [(k, k) for k in range(16)]
+    assert got(spark, "shortest_path_counts") == [(k, k, 1) for k in range(1, 16)]
+    assert got(spark, "cheapest_costs") == [(k, float(k)) for k in range(16)]
