@@ -78,6 +78,17 @@ def test_algorithms_use_every_edge(spark, next_edges):
     assert got(spark, "betweenness") == sorted((u, round(score[u] / ((n - 1) * (n - 2)), 9)) for u in users)
 
 
+def test_patterns_and_unions_take_every_id(spark, next_edges):
+    after = defaultdict(set)
+    for _, a, b in next_edges:
+        after[a].add(b)
+    assert got(spark, "var_length_all_starts") == sorted((a, len(bs | {c for b in bs for c in after[b]})) for a, bs in after.items())
+    pairs = Counter((a, b) for (e, a, b) in next_edges for (f, c, d) in next_edges if (c, d) == (b, a) and e != f)
+    assert got(spark, "cyclic_pattern") == sorted((a, b, n) for (a, b), n in pairs.items())
+    nations = [r[0] for t, c in (("customer", "c_nationkey"), ("supplier", "s_nationkey")) for r in spark.read.parquet(f"{SF}/{t}.parquet").select(c).collect()]
+    assert got(spark, "union_all") == sorted((n,) for n in nations)
+
+
 def chain(spark, n):
     """n users, each followed by the next."""
     at = catalog.USER
