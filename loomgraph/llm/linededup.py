@@ -3,9 +3,9 @@
 A unit is a line, cut again after `.`, `!` or `?` before white space, so that a
 passage is also found in the middle of a longer line. Units are normalised
 (lower case, one space between words) and hashed; each digest's earliest
-occurrence, by id and then by position, stays and the others are repeats. A run
-of neighbouring repeats with min_words words or more is removed, with its
-offsets in the original text; a shorter one is ordinary prose and stays.
+occurrence, by id and then by position, stays and the others are repeats. Every
+repeat is removed, neighbouring ones as one run with its offsets in the original
+text. A min_words above 1 leaves shorter runs in place.
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from .common import map_arrow, two_columns
 
 #: Units of fewer words aren't hashed; they neither make nor break a run.
-MIN_UNIT_WORDS = 3
-MIN_WORDS = 30
+MIN_UNIT_WORDS = 1
+MIN_WORDS = 1
 _ENDS = re.compile(r"[.!?](?=\s)|\n")
 
 

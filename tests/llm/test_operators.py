@@ -457,6 +457,12 @@ def test_units_lose_no_text_and_find_a_passage_inside_a_line():
     assert len(a & b) == 3
 
 
+def test_line_dedup_takes_repeats_of_any_length(spark):
+    nine = "this line of nine words is on every page"
+    docs = spark.createDataFrame([(1, f"first here\n{nine}\nFin"), (2, f"other start\n{nine}\nmore\nfin\nits own end")], "doc_id bigint, text string")
+    same(linededup.repeats(docs).collect(), [(2, 12, 52, 9, 1), (2, 58, 61, 1, 1)])
+
+
 # 8
 
 
