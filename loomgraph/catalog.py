@@ -224,7 +224,7 @@ def _lpa_sql(n: int = 4) -> str:
 
 @_add("label_propagation", _lpa_sql())
 def label_propagation(spark, sf):
-    return _user(algorithms.label_propagation(*_both(_users(spark, sf)), iterations=4))
+    return _user(algorithms.label_propagation(*_both(_users(spark, sf))))
 
 
 _TRI = f"WITH {SPARSE}, u AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM s WHERE src <> dst), t AS (SELECT p.a, p.b, q.b AS c FROM u p JOIN u q ON p.a = q.a AND p.b < q.b JOIN u r ON r.a = p.b AND r.b = q.b)"

@@ -101,3 +101,15 @@ def test_paths_have_no_last_depth(spark, monkeypatch):
     assert got(spark, "bfs_depths") == [(k, k) for k in range(16)]
     assert got(spark, "shortest_path_counts") == [(k, k, 1) for k in range(1, 16)]
     assert got(spark, "cheapest_costs") == [(k, float(k)) for k in range(16)]
+
+
+def test_labels_move_on_after_four_rounds(spark, monkeypatch):
+    g, n = chain(spark, 16), 16
+    monkeypatch.setattr(catalog, "_users", lambda spark, sf: g)
+    label, rounds = list(range(n)), []
+    for _ in range(10):
+        votes = [Counter(label[k] for k in (u - 1, u + 1) if 0 <= k < n) for u in range(n)]
+        label = [min(v, key=lambda c: (-v[c], c)) for v in votes]
+        rounds.append(label)
+    assert rounds[3] != rounds[9]
+    assert got(spark, "label_propagation") == list(enumerate(rounds[9]))
