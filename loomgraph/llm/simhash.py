@@ -10,6 +10,7 @@ distance, and returns one link per fingerprint, to its root in the shard.
 
 from __future__ import annotations
 
+import functools
 import math
 from itertools import combinations
 
@@ -218,9 +219,24 @@ HOT_GROUP, HOT_SIZE = 1024, 1 << 22
 _ODD = np.random.default_rng(42).integers(1, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+#: Sets of up to so many shingles are counted out: ties of even ones make bits differ more often than the angle says.
+SMALL = 24
+
+
+def differ(a: int, b: int, both: int) -> float:
+    """Chance that a bit differs between sets of a and b random hashes that share `both`; a bit is 1 if set in over half."""
+
+    def ones(x: int, n: int) -> float:
+        return sum(math.comb(n - both, k) for k in range(n - both + 1) if 2 * (x + k) > n) / 2 ** (n - both)
+
+    return sum(math.comb(both, x) / 2**both * (p * (1 - q) + q * (1 - p)) for x in range(both + 1) for p, q in [(ones(x, a), ones(x, b))])
+
+
+@functools.cache
 def radius_of(similarity: float, bits: int = 64 * WIDE) -> int:
-    """Bits within which all but a few in 100,000 pairs of shingle sets of this Jaccard similarity lie: the expected number and four standard deviations."""
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    """Bits within which all but a few in 100,000 pairs of shingle sets of this Jaccard similarity lie: the expected number and four standard deviations, at the sizes where it is largest."""
+    small = [differ(a, b, both) for a in range(1, SMALL + 1) for b in range(a, SMALL + 1) for both in range(a + 1) if both >= similarity * (a + b - both)]
+    p = max([math.acos(2 * similarity / (1 + similarity)) / math.pi, *small])
     return round(bits * p + 4 * math.sqrt(bits * p * (1 - p)))
 
 

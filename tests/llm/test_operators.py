@@ -255,6 +255,15 @@ def test_components_on_long_chains(spark):
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
+def test_radius_holds_pairs_of_small_sets():
+    rng, radius = np.random.default_rng(1), simhash.radius_of(0.8)
+    for n in (4, 12):
+        for _ in range(2000):
+            h = rng.integers(0, 1 << 63, n * 5 // 4, np.uint64) * np.uint64(2) + rng.integers(0, 2, n * 5 // 4, np.uint64)
+            x, y = (int.from_bytes(simhash.wide_fingerprint(some), "big") for some in (h, h[:n]))
+            assert (x ^ y).bit_count() <= radius
+
+
 # 4
 
 ITEMS = [(1, "The quick brown fox jumps over the lazy dog again and again today"), (2, "short one"), (10, "café é 5"), (3, ""), (4, None), (5, "!!!"), (6, "quick quick quick quick quick quick quick quick quick quick quick quick"), (None, "null item words here"), (2, "short one"), (11, "single")]
