@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
+from . import stars
 
 
 def ids(vertices: DataFrame) -> DataFrame:
@@ -51,24 +52,9 @@ def pagerank(vertices: DataFrame, edges: DataFrame, damping: float = 0.85, itera
 
 
 def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, component) with the smallest id of each weakly connected component.
-
-    Every round joins each node's neighbours to the smallest among them, first
-    the larger ones and then the smaller, which halves long chains.
-    """
-    e, state = cut(undirected(edges).select(F.col("b").alias("a"), F.col("a").alias("b"))), None
-    while True:
-        both = e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        e = cut(large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct())
-        now = e.agg(F.count("a"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == state:
-            break
-        state = now
-    v = ids(vertices)
-    return v.join(e.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("c")), "id", "left").select("id", F.coalesce("c", "id").alias("component"))
+    """(id, component) with the smallest id of each weakly connected component, by alternating stars."""
+    roots = stars.components(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    return ids(vertices).join(roots, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("component"))
 
 
 def label_propagation(vertices: DataFrame, edges: DataFrame, iterations: int = 10) -> DataFrame:
