@@ -10,6 +10,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut, shared_dir
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: bytes.translate table that lower-cases A-Z only.
 ASCII_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -19,24 +21,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; an own one only where the session names none."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="loomgraph-"))
-    return (named or sc.getCheckpointDir()).rstrip("/")
+def scratch(spark: SparkSession, what: str) -> str:
+    """A fresh path below the shared folder."""
+    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage by an eager checkpoint in the shared folder, which outlives lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def until_exit(spark: SparkSession, path: str) -> str:
+    """Have the file system delete the path when the driver's JVM ends."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
 
 
-def scratch(spark: SparkSession, what: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+def written(df: DataFrame, what: str) -> DataFrame:
+    """df as written to the shared folder, which cuts lineage and holds it compressed; gone when the driver ends."""
+    spark, path = df.sparkSession, scratch(df.sparkSession, what)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(until_exit(spark, path))
 
 
 _shipped: set[str] = set()
@@ -107,7 +108,29 @@ def raw_texts(column) -> list:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
-def drop_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Rows of docs whose id isn't in ids (one column); rows without an id stay. Columns are those of docs."""
-    gone = ids.select(F.col(ids.columns[0]).alias("__gone_id")).where("__gone_id IS NOT NULL").distinct()
-    return docs.join(gone, docs[id_col] == gone["__gone_id"], "left_anti")
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> tuple[Column, Column]:
+    """What tells rows apart: the id and a hash of it and the whole text; both columns compare null-safely.
+
+    Rows of one id but different texts are different documents; rows that
+    repeat both are the same one.
+    """
+    i, t = F.col(f"`{id_col}`").cast("bigint"), F.col(f"`{text_col}`").cast("string")
+    return i, F.xxhash64(i, t, t.isNull())
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened where df has such columns already, whatever the case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+def drop_rows(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of docs whose row_key isn't in gone (two columns); columns are those of docs."""
+    g = gone.select(F.col(gone.columns[0]).alias("__gone_id"), F.col(gone.columns[1]).alias("__gone_key")).distinct()
+    i, k = row_key(id_col, text_col)
+    return docs.join(g, i.eqNullSafe(g["__gone_id"]) & (k == g["__gone_key"]), "left_anti")

@@ -45,7 +45,7 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every repeated passage that goes, with its offsets and the document that keeps it."""
-    return linededup.repeats(table(spark, sf_dir, "documents"))
+    return linededup.repeats(table(spark, sf_dir, "documents"), min_words=linededup.PASSAGE_WORDS)
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
