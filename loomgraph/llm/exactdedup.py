@@ -16,7 +16,7 @@ import tempfile
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, map_arrow, raw_texts, shuffle_partitions, two_columns
+from .common import ASCII_LOWER, FEW, ascii_lower, fresh, map_arrow, raw_texts, shuffle_partitions, two_columns
 
 #: Bytes of strings that one trie holds before it spills a subtree.
 TRIE_BYTES = 64 << 20
@@ -163,7 +163,7 @@ def owners(docs: DataFrame, keep: str = "max", trie_bytes: int = TRIE_BYTES) ->
         yield from out_of(trie.items())
 
     def own(batches):
-        """Texts come by length and hash, so a trie is left as soon as these change and holds few texts."""
+        """Texts come by length: one trie holds a task's texts of a length, and spills beyond trie_bytes."""
         import pyarrow as pa
 
         key, trie, ready = None, None, []
@@ -173,22 +173,24 @@ def owners(docs: DataFrame, keep: str = "max", trie_bytes: int = TRIE_BYTES) ->
             ready.clear()
             return out
 
+        def done():
+            for text, v in trie.items() if trie else ():
+                ready.append((hashlib.sha256(text).digest(), *v))
+                if len(ready) >= 10_000:
+                    yield batch()
+
         for b in batches:
-            for n, sha, text, i, count in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if (n, sha) != key:
-                    if trie is not None:
-                        ready += [(key[1], *v) for _, v in trie.items()]
-                    key, trie = (n, sha), Patricia(_merge(best), trie_bytes)
+            for n, text, i, count in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if n != key:
+                    yield from done()
+                    key, trie = n, Patricia(_merge(best), trie_bytes)
                 trie.insert(text, (i, count))
-            if len(ready) > 10_000:
-                yield batch()
-        if trie is not None:
-            ready += [(key[1], *v) for _, v in trie.items()]
+        yield from done()
         if ready:
             yield batch()
 
     n = shuffle_partitions(docs.sparkSession)
-    moved = map_arrow(docs, local, schema).repartition(n, "len", "sha").sortWithinPartitions("len", "sha")
+    moved = map_arrow(docs, local, schema).repartition(n, "len", "sha").sortWithinPartitions("len").select("len", "text", "keep_id", "n")
     return map_arrow(docs, digest, "doc_id bigint, sha binary"), map_arrow(moved, own, "sha binary, keep_id bigint, group_size bigint")
 
 
@@ -205,6 +207,62 @@ def duplicates(docs: DataFrame, id_col="doc_id", text_col="text", keep: str = "m
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
+def unique(docs: DataFrame, id_col="doc_id", text_col="text", keep: str = "max", trie_bytes: int = TRIE_BYTES) -> DataFrame:
+    """One row of docs for each distinct text (A-Z lower-cased, null as empty), columns unchanged: the one of the largest (or smallest) id.
+
+    A null id stays only where the whole group has none. Of rows with equal id
+    and text, repeated rows included, the one whose other columns have the
+    smallest hash stays, so nothing depends on the order of rows and nothing is
+    dropped for its id alone. Whole rows move, each partition's owners only,
+    and the owners in each partition of lengths and content hashes, whose rows
+    come in order of these, are the result: no join back. An empty table gives none.
+    """
+    at, names = [c.lower() for c in docs.columns].index(text_col.lower()), fresh(docs, "__len", "__sha", "__id", "__tie")
+    sign = 1 if keep == "max" else -1
+    text = ascii_lower(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
+    i = F.col(f"`{id_col}`").cast("bigint")
+    own = (F.octet_length(text).cast("bigint"), F.sha2(text, 256), i, F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if not kind.startswith("map")]))
+    keyed = docs.select(*[F.col(f"`{c}`") for c in docs.columns], *[c.alias(n) for c, n in zip(own, names, strict=True)])
+
+    def ranked(b):
+        """(row, text, rank): what the trie keeps of a text is its largest rank, and where that row is."""
+        k = b.num_columns - 4
+        for row, (t, j, tie) in enumerate(zip(raw_texts(b.column(at)), b.column(k + 2).to_pylist(), b.column(k + 3).to_pylist(), strict=True)):
+            yield row, (t or b"").translate(ASCII_LOWER), (j is not None, sign * (j or 0), -tie)
+
+    def run(batches):
+        """Owners among what comes, a chunk at a time; the last text's owner goes on to the next chunk, as its run may."""
+        import pyarrow as pa
+
+        def owned(last):
+            rows: dict[int, list[int]] = {}
+            on = None
+            for t, (*_, batch, row) in trie.items():
+                if t == last:
+                    on = held[batch].take(pa.array([row]))
+                else:
+                    rows.setdefault(batch, []).append(row)
+            return [held[k].take(pa.array(sorted(rows[k]))) for k in sorted(rows)], on
+
+        held, size, trie = [], 0, Patricia(max, trie_bytes)
+        for b in batches:
+            for row, t, rank in ranked(b):
+                trie.insert(t, (*rank, len(held), row))
+            held.append(b)
+            size += b.nbytes
+            if size > trie_bytes // 2 and b.num_rows:
+                out, on = owned(t)
+                yield from out
+                held, size, trie = [on], on.nbytes, Patricia(max, trie_bytes)
+                for row, t, rank in ranked(on):
+                    trie.insert(t, (*rank, 0, row))
+        yield from owned(None)[0]
+
+    n = shuffle_partitions(docs.sparkSession)
+    moved = map_arrow(keyed, run, keyed.schema, FEW).repartition(n, *names[:2]).sortWithinPartitions(*names[:2])
+    return map_arrow(moved, run, keyed.schema, FEW).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 SQL = """
 WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, (count(*) OVER (PARTITION BY t))::BIGINT AS group_size,

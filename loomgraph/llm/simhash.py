@@ -6,6 +6,10 @@ for each pair of blocks and their value; every link lies whole in some shard.
 A task builds the BK-tree of its shard (children keyed by the integer Hamming
 distance to their parent), follows only edges within the radius of a query's
 distance, and returns one link per fingerprint, to its root in the shard.
+
+The trees aren't Spark broadcasts: all fingerprints would have to meet all
+trees, work that grows with the square of the input. A shard's tree is sent to
+one task, with the fingerprints that can be within the radius.
 """
 
 from __future__ import annotations
@@ -18,8 +22,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, FEW, cut, map_arrow, raw_texts, shuffle_partitions, two_columns
-from .components import components
+from ..operators.stars import components
+from .common import ASCII_LOWER, FEW, cut, drop_rows, fresh, map_arrow, raw_texts, row_key, shuffle_partitions, two_columns
 
 RADIUS = 2
 #: Shards of more fingerprints are dealt again by the rest of their bits.
@@ -388,20 +392,8 @@ def _roots_of_groups(members: DataFrame, row, links_of, hot: int, hot_size: int,
     return components(links_.unionByName(run(second)))
 
 
-def similar(docs: DataFrame, id_col="doc_id", text_col="text", words: int = 5, similarity: float = 0.8, hot: int = HOT_GROUP, hot_size: int = HOT_SIZE) -> DataFrame:
-    """(doc_id, component_id) of every row; documents link whose shingle sets have a Jaccard similarity of `similarity` or more.
-
-    A document goes to BANDS shards, each named by ROWS least hashes of its
-    shingles: two documents of similarity s share a shard with probability
-    1 - (1 - s^ROWS)^BANDS (0.999 at 0.8), whatever the size of the corpus. In
-    a shard a BK-tree of wide fingerprints finds what lies within
-    radius_of(similarity). Only documents with such a candidate are read
-    again: trees over each group of candidates compare their shingle sets.
-    Large shards and groups are dealt into blocks (_roots_of_groups).
-    Texts without words, and rows without an id, link to nothing and are their
-    own component; rows that share an id share its component. Rows of equal
-    fingerprints are one node, so copies count once before anything moves.
-    """
+def _similar(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float, hot: int, hot_size: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, groups): rows (doc_id, row, unit) of docs, unit null without words; groups (unit, root), one row per distinct shingle fingerprint."""
 
     def signed(batches):
         import pyarrow as pa
@@ -409,17 +401,20 @@ def similar(docs: DataFrame, id_col="doc_id", text_col="text", words: int = 5, s
         for b in batches:
             got = [(wide_fingerprint(h), shard_keys(h) if len(h) else [], len(h)) for h in (shingle_set(t, words) for t in raw_texts(b.column("text")))]
             kinds = pa.binary(), pa.list_(pa.int64()), pa.int64()
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array([x[k] for x in got], kind) for k, kind in enumerate(kinds))], ["doc_id", "fp", "keys", "size"])
-
-    radius, own = radius_of(similarity), two_columns(docs, id_col, text_col)
-    rows = cut(map_arrow(own, signed, "doc_id bigint, fp binary, keys array<bigint>, size bigint", FEW))
-    linked = rows.where("doc_id IS NOT NULL AND size > 0")
-    units = cut(linked.groupBy("fp").agg(F.min("doc_id").alias("id"), F.min_by(F.struct("keys", "size"), F.struct("doc_id", "size")).alias("of")).select("id", "fp", "of.*"))
-    shards = units.select(F.explode("keys").alias("key"), "id", F.lit(0).alias("size"), "fp")
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), *(pa.array([x[k] for x in got], kind) for k, kind in enumerate(kinds))], ["doc_id", "row", "fp", "keys", "size"])
+
+    radius = radius_of(similarity)
+    i, key = row_key(id_col, text_col)
+    own = docs.select(i.alias("doc_id"), key.alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    rows = cut(map_arrow(own, signed, "doc_id bigint, row bigint, fp binary, keys array<bigint>, size bigint", FEW))
+    linked = rows.where("size > 0")
+    # A number for each distinct fingerprint, which the written table keeps; the row that stands for it is read again by its key.
+    units = linked.groupBy("fp").agg(F.min_by(F.struct("doc_id", "row", "keys", "size"), F.struct("size", "doc_id", "row")).alias("of")).select("fp", "of.*")
+    units = cut(units.withColumn("unit", F.monotonically_increasing_id()))
+    shards = units.select(F.explode("keys").alias("key"), F.col("unit").alias("id"), F.lit(0).alias("size"), "fp")
     near = _roots_of_groups(shards, lambda i, fp: (i, int.from_bytes(fp, "big")), lambda values: groups_of(values, radius), hot, 1)
-
-    sized = units.groupBy(F.col("id").alias("__id")).agg(F.max("size").alias("size"))  # rows that share an id can differ
-    members = cut(near.join(sized, near["node"] == F.col("__id")).select(F.col("root").alias("key"), F.col("node").alias("id"), "size"))
+    members = near.join(units.select(F.col("unit").alias("id"), "size", F.col("doc_id").alias("__i"), F.col("row").alias("__r")), F.col("node") == F.col("id"))
+    members = cut(members.select(F.col("root").alias("key"), "id", "size", "__i", "__r"))
 
     def compared(i, text):
         h = shingle_set(text, words)
@@ -429,12 +424,64 @@ def similar(docs: DataFrame, id_col="doc_id", text_col="text", words: int = 5, s
         sets = {v: h for _, v, h in values}
         return groups_of(((i, v) for i, v, _ in values), radius, lambda v, other: jaccard(sets[v], sets[other]) >= similarity)
 
-    roots = _roots_of_groups(members, compared, verified, hot, hot_size, lambda placed: placed.join(own, placed["id"] == own["doc_id"]).select(*placed.columns, "text"))
-    by_fp = units.join(roots, units["id"] == roots["node"], "left").select(F.col("fp").alias("__fp"), F.coalesce("root", "id").alias("component_id"))
-    alone = rows.where("doc_id IS NULL OR size = 0").select("doc_id", F.col("doc_id").alias("component_id"))
-    return linked.join(by_fp, linked["fp"] == by_fp["__fp"]).select("doc_id", "component_id").unionByName(alone)
+    def read(placed: DataFrame) -> DataFrame:
+        of = placed["__r"] == own["row"]
+        kept = [c for c in placed.columns if not c.startswith("__")]
+        return placed.join(own, of & placed["__i"].eqNullSafe(own["doc_id"])).select(*kept, "text").dropDuplicates([c for c in kept if c != "size"])
+
+    roots = _roots_of_groups(members, compared, verified, hot, hot_size, read)
+    groups = units.join(roots, units["unit"] == roots["node"], "left").select("fp", "unit", F.coalesce("root", "unit").alias("root"))
+    by_fp = groups.select(F.col("fp").alias("__fp"), "unit", "root")
+    placed = linked.join(by_fp, linked["fp"] == by_fp["__fp"]).select("doc_id", "row", "unit", "root")
+    return placed.unionByName(rows.where("size = 0").select("doc_id", "row"), allowMissingColumns=True), groups
 
 
-def surplus(docs: DataFrame, id_col="doc_id", text_col="text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id) of rows that aren't the one document that stays of their group of similar ones, the one with the smallest id."""
-    return similar(docs, id_col, text_col, words, similarity).where("doc_id <> component_id").select("doc_id")
+def similar(docs: DataFrame, id_col="doc_id", text_col="text", words: int = 5, similarity: float = 0.8, hot: int = HOT_GROUP, hot_size: int = HOT_SIZE) -> DataFrame:
+    """(doc_id, component_id) of every row; documents link whose shingle sets have a Jaccard similarity of `similarity` or more.
+
+    A departure from plain SimHash, which no radius makes exact at such
+    similarities: the shards of the trees are named by least hashes, and shingle
+    sets decide. A document goes to BANDS shards, each named by ROWS least
+    hashes of its shingles: two documents of similarity s share a shard with
+    probability 1 - (1 - s^ROWS)^BANDS (0.999 at 0.8), whatever the size of the
+    corpus. In a shard a BK-tree of wide fingerprints finds what lies within
+    radius_of(similarity). Only documents with such a candidate are read
+    again: trees over each group of candidates compare their shingle sets.
+    Large shards and groups are dealt into blocks (_roots_of_groups).
+
+    Groups are what links connect, so two documents of one need not be similar
+    themselves. component_id is the smallest id of a group, null where all its
+    ids are null. Texts without words link to nothing and are their own
+    component. Rows that share an id but not a text are different documents.
+    Rows of equal fingerprints are one node, so copies count once before
+    anything moves. An empty table gives none.
+    """
+    rows, _ = _similar(docs, id_col, text_col, words, similarity, hot, hot_size)
+    rows = cut(rows)
+    named = rows.where("root IS NOT NULL").groupBy(F.col("root").alias("__root")).agg(F.min("doc_id").alias("component_id"))
+    linked = rows.where("root IS NOT NULL").join(named, F.col("root") == F.col("__root")).select("doc_id", "component_id")
+    return linked.unionByName(rows.where("root IS NULL").select("doc_id", F.col("doc_id").alias("component_id")))
+
+
+def unique(docs: DataFrame, id_col="doc_id", text_col="text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One document of each group of similar ones, columns unchanged: the one with the smallest id, a null id only where there is no other.
+
+    Of documents with equal ids the one of least row_key stays. Rows are
+    dropped by id and text together, so a document that shares its id with a
+    copy of another isn't lost. Rows that repeat id and text are one document,
+    and one row of them stays (any one).
+    """
+    rows, _ = _similar(docs, id_col, text_col, words, similarity, HOT_GROUP, HOT_SIZE)
+    rows = cut(rows)
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    best = rows.where("root IS NOT NULL").groupBy(F.col("root").alias("__root")).agg(F.min(rank).alias("best"))
+    gone = rows.where("root IS NOT NULL").join(best, F.col("root") == F.col("__root")).where(~(F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("row") == F.col("best.row")))).select("doc_id", "row")
+    kept = drop_rows(docs, gone, id_col, text_col)
+    again = rows.groupBy(F.col("doc_id").alias("__i"), F.col("row").alias("__r")).agg(F.count("row").alias("n")).where("n > 1").select("__i", "__r")
+    if again.isEmpty():
+        return kept
+    names = fresh(docs, "__own_id", "__own_row")
+    keyed = kept.withColumns(dict(zip(names, row_key(id_col, text_col), strict=True)))
+    on = F.col(names[0]).eqNullSafe(F.col("__i")) & (F.col(names[1]) == F.col("__r"))
+    both = keyed.join(again, on, "left_anti").unionByName(keyed.join(again, on, "left_semi").dropDuplicates(names))
+    return both.select(*[F.col(f"`{c}`") for c in docs.columns])

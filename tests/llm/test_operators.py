@@ -13,7 +13,8 @@ import xxhash
 from pyspark.sql import functions as F
 
 from loomgraph.llm import bytebpe, decontam, exactdedup, histsort, langid, linededup, simhash, tokenbin, tokencount, urlfilter
-from loomgraph.llm.components import components
+from loomgraph.operators.stars import components
+from loomgraph.llm.common import row_key
 from loomgraph.llm.langid import LanguageModel, Landmarks, has_letter, ngrams, ridge
 from loomgraph.llm.prefixbpe import PrefixTable
 
@@ -197,12 +198,33 @@ def slow_similar(docs):
 
 
 def test_similar_documents(docs, rows, no_docs):
-    want = slow_similar([(i, t) for i, t, _ in rows if i is not None])
+    group, least = slow_similar([(k, t) for k, (_, t, _) in enumerate(rows)]), defaultdict(list)
+    for k, (i, _, _) in enumerate(rows):
+        least[group[k]] += [] if i is None else [i]
+    want = [(i, min(least[group[k]], default=None)) for k, (i, _, _) in enumerate(rows)]
     for size in ((simhash.HOT_GROUP, simhash.HOT_SIZE), (2, 50)):
-        same(simhash.similar(docs, hot=size[0], hot_size=size[1]).collect(), [(i, want.get(i)) for i, _, _ in rows])
+        same(simhash.similar(docs, hot=size[0], hot_size=size[1]).collect(), want)
     assert simhash.similar(no_docs).count() == 0
 
 
+def test_one_of_each_similar_group_stays(spark, docs, rows, no_docs):
+    words = " ".join(f"w{k}" for k in range(60))
+    odd = [(500, words), (900, words + " x"), (900, "an unrelated text of the same id"), (None, words + " y"), (None, words + " z"), (None, "both without an id " * 9), (None, "both without an id " * 9 + "but"), (7000, "same same"), (7000, "same same"), (7001, None), (7001, "")]
+    df = docs.select("doc_id", "text").unionByName(spark.createDataFrame(odd, "doc_id bigint, text string")).withColumns({"__row": F.lit("x"), "fp": F.lit(1)}).repartition(4)
+    all_rows = sorted({(i, t) for i, t, *_ in [*rows, *odd]}, key=lambda r: (r[0] is None, r[0] or 0))
+    group = slow_similar([(k, t) for k, (_, t) in enumerate(all_rows)])
+    best = {}
+    for k, (i, _) in enumerate(all_rows):
+        if i is not None or group[k] not in best:
+            best.setdefault(group[k], i)
+    got = simhash.unique(df)
+    assert got.columns == df.columns
+    kept = [(r.doc_id, r.text) for r in got.collect()]
+    assert len(kept) == len(set(kept)) == len(best) and {(900, "an unrelated text of the same id"), (500, words)} <= set(kept)
+    same([(i,) for i, _ in kept], [(i,) for i in best.values()])
+    assert simhash.unique(no_docs).count() == 0
+
+
 @pytest.mark.parametrize(("edits", "hot", "hot_size"), [(1, 1024, 1 << 22), (6, 1024, 1 << 22), (6, 8, 1 << 22), (12, 8, 1 << 22), (6, 1024, 2000)])
 def test_similar_groups_of_edited_copies(spark, edits, hot, hot_size):
     """Groups of up to 150 edited copies, some on this and some on that side of the threshold, whole and dealt into blocks."""
@@ -418,48 +440,83 @@ def test_prefix_table_appends_and_edits(tik):
 # 7
 
 
-def slow_repeats(rows, min_words):
-    first, found = {}, []
-    docs = sorted({(i, t) for i, t, _ in rows if i is not None and t})
-    for i, t in docs:
-        for at, (s, e, n, unit) in enumerate(linededup.units_of(t)):
-            found.append((i, at, s, e, n, unit))
-            first.setdefault(unit, (i, at))
-    out, run = [], []
-
-    def close():
-        if run and sum(r[4] for r in run) >= min_words:
-            out.append((run[0][0], run[0][2], run[-1][3], sum(r[4] for r in run), first[run[0][5]][0]))
-        run.clear()
-
-    for r in found:
-        again = first[r[5]] != (r[0], r[1])
-        if not again or run and (run[-1][0], run[-1][1] + 1) != (r[0], r[1]):
-            close()
-        if again:
-            run.append(r)
-    close()
+def slow_repeats(rows, min_words, key):
+    """Documents in order of rank, cut into pieces that add up to the text; a piece met before is a repeat."""
+    seen, out = {}, []
+    for none, i, r, text in sorted({(i is None, i or 0, key[i, t], t) for i, t in rows if t}):
+        at, run, i = 0, [], None if none else i
+
+        def close():
+            if run and sum(x[2] for x in run) >= min_words:
+                out.append((i, run[0][0], run[-1][1], sum(x[2] for x in run), run[0][3], r))
+            run.clear()
+
+        for piece in re.split(r"(?<=\n)|(?<=[.!?,;:])(?=\s)", text):
+            words, start, end = piece.lower().split(), at + len(piece) - len(piece.lstrip()), at + len(piece.rstrip())
+            at += len(piece)
+            if words and " ".join(words) in seen:
+                run.append((start, end, len(words), seen[" ".join(words)]))
+            elif words:
+                seen[" ".join(words)] = i
+                close()
+        close()
     return out
 
 
-@pytest.mark.parametrize("min_words", [3, 30])
-def test_line_dedup(docs, rows, no_docs, min_words):
-    runs = linededup.repeats(docs, min_words=min_words)
-    want = slow_repeats(rows, min_words)
+def key_of(docs):
+    """{(doc_id, text): row_key}; the key is only compared."""
+    return {(r.doc_id, r.text): r.k for r in docs.select("doc_id", "text", row_key()[1].alias("k")).collect()}
+
+
+def check_repeats(docs, pairs, min_words):
+    keys = key_of(docs)
+    runs, want = linededup.repeats(docs, min_words=min_words), slow_repeats(pairs, min_words, keys)
     same(runs.collect(), want)
-    assert {117} <= {r.doc_id for r in runs.collect()} and 116 not in {w[0] for w in slow_repeats(rows, 30)}
-    texts = defaultdict(set)
-    for r in linededup.clean(docs, runs).collect():
-        texts[r.doc_id].add((r.text, len(r.removed_spans)))
-    for i, t, _ in rows:
-        spans = sorted((s, e) for d, s, e, *_ in want if d == i and i is not None)
-        kept = t
+    cleaned = []
+    for i, t in pairs:
+        spans = sorted((s, e) for d, s, e, _, _, k in want if (d, k) == (i, keys[i, t]))
         for s, e in reversed(spans):
-            kept = kept[:s] + kept[e:]
-        assert (kept, len(spans)) in texts[i]
+            t = t[:s] + t[e:]
+        cleaned.append((i, t, spans))
+    got = linededup.clean(docs, runs)
+    assert got.columns == [*docs.columns, "removed_spans"]
+    same([(r.doc_id, r.text, [tuple(x) for x in r.removed_spans]) for r in got.collect()], cleaned)
+    return want
+
+
+@pytest.mark.parametrize(("min_words", "often", "owners"), [(1, 8, 1000), (1, 2, 1000), (1, 2, 0), (linededup.PASSAGE_WORDS, 8, 1000)])
+def test_line_dedup(monkeypatch, docs, rows, no_docs, min_words, often, owners):
+    monkeypatch.setattr(linededup, "MAX_OWNERS", owners)
+    monkeypatch.setattr(linededup, "OFTEN", often)
+    want = check_repeats(docs, [(i, t) for i, t, _ in rows], min_words)
+    assert 117 in {w[0] for w in want} and (min_words == 1 or 112 not in {w[0] for w in want})
     assert linededup.repeats(no_docs).count() == 0
 
 
+def test_line_dedup_tells_rows_of_an_id_apart(spark):
+    """Rows that share an id, null ids, repeated rows, and short text between repeats."""
+    a, b = "One long sentence that is said twice here. Call 911! Another long sentence, said twice as well.", "First things first. One long sentence that is said twice here.\nNo call.\nAnother long sentence, said twice as well."
+    pairs = [(2, a), (2, "nobody else has a word of this text, " * 3), (2, b), (2, b), (None, a + "\nend"), (None, b), (9, ""), (9, None), (1, "No call. x " + a.upper())]
+    df = spark.createDataFrame([(i, t, "x", "x") for i, t in pairs], "doc_id bigint, text string, __spans string, row string").repartition(3)
+    want = check_repeats(df, pairs, 1)
+    assert None in {w[0] for w in want} and len({w[-1] for w in want if w[0] == 2}) >= 2
+    with pytest.raises(ValueError):
+        linededup.clean(df.withColumnRenamed("row", "Removed_Spans"), linededup.repeats(df))
+
+
+def test_a_run_ends_at_what_is_not_repeated(spark):
+    docs = spark.createDataFrame([(1, "Said before by all. Again and again it is."), (2, "Said before by all. Call 911! Again and again it is.")], "doc_id bigint, text string")
+    assert [tuple(r)[:3] for r in sorted(linededup.repeats(docs).collect())] == [(2, 0, 19), (2, 30, 52)]
+
+
+def test_line_dedup_finds_passages_inside_sentences(spark):
+    words = [f"w{k}{',' if k % 7 == 3 else '.' if k % 23 == 5 else ''}" for k in range(60)]
+    passage = " ".join(words)
+    docs = spark.createDataFrame([(k, f"{chr(97 + k) * 5} own words of document {k} and {passage} then more own words {k}") for k in range(3)], "doc_id bigint, text string")
+    got = {r.doc_id: r for r in linededup.repeats(docs, min_words=linededup.PASSAGE_WORDS).collect()}
+    assert set(got) == {1, 2} and all(r.n_words >= 50 and r.first_doc_id == 0 for r in got.values())
+
+
 def test_units_lose_no_text_and_find_a_passage_inside_a_line():
     passage = "Alpha beta gamma delta. Epsilon zeta eta theta! Iota kappa lambda mu? Nu xi omicron pi."
     a, b = [{u for *_, u in linededup.units_of(f"{x} {passage} {y}")} for x, y in (("start of one", "end of one"), ("another head", "tail"))]
@@ -469,7 +526,7 @@ def test_units_lose_no_text_and_find_a_passage_inside_a_line():
 def test_line_dedup_takes_repeats_of_any_length(spark):
     nine = "this line of nine words is on every page"
     docs = spark.createDataFrame([(1, f"first here\n{nine}\nFin"), (2, f"other start\n{nine}\nmore\nfin\nits own end")], "doc_id bigint, text string")
-    same(linededup.repeats(docs).collect(), [(2, 12, 52, 9, 1), (2, 58, 61, 1, 1)])
+    same([tuple(r)[:5] for r in linededup.repeats(docs).collect()], [(2, 12, 52, 9, 1), (2, 58, 61, 1, 1)])
 
 
 # 8
@@ -528,6 +585,28 @@ def test_exact_dedup(docs, rows, no_docs, keep, trie_bytes):
     assert exactdedup.duplicates(no_docs).count() == 0
 
 
+def slow_unique(rows, best):
+    """Of each text the id that stays; a null id only where there is no other."""
+    groups = defaultdict(list)
+    for i, t, *_ in rows:
+        groups[(t or "").translate(LOWER)].append(i)
+    return [(best(x) if (x := [i for i in ids if i is not None]) else None, t) for t, ids in groups.items()]
+
+
+@pytest.mark.parametrize("keep", ["max", "min"])
+@pytest.mark.parametrize("trie_bytes", [1 << 26, 200])
+def test_exact_dedup_of_whole_rows(spark, docs, rows, no_docs, keep, trie_bytes):
+    odd = [(5, "A dup", "x"), (9, "a dup", "y"), (5, "only here", "z"), (7, "same", "q"), (7, "same", "q"), (None, "both null", "a"), (None, "Both null", "b"), (None, "a DUP", "c")]
+    df = docs.unionByName(spark.createDataFrame([(i, t, None, x, None, *["x"] * 6) for i, t, x in odd], docs.schema)).repartition(5)
+    got = exactdedup.unique(df, keep=keep, trie_bytes=trie_bytes)
+    assert got.columns == df.columns
+    all_rows = [*rows, *odd]
+    same([(r.doc_id, (r.text or "").translate(LOWER)) for r in got.collect()], slow_unique(all_rows, {"max": max, "min": min}[keep]))
+    have = {tuple(r) for r in df.collect()}
+    assert all(tuple(r) in have for r in got.collect())
+    assert exactdedup.unique(no_docs).count() == 0
+
+
 @pytest.mark.parametrize("max_bytes", [1 << 20, 60])
 def test_patricia_trie(max_bytes):
     rng = random.Random(9)
