@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower
 
-#: Words of the Bloom filter: 64 bits each, 8 MB at most; a longer list makes more false positives, which the join removes.
+#: Blocks of the Bloom filter: 64 bits each, 8 MB at most; a longer list makes more false positives, which the join removes.
 MAX_WORDS = 1 << 20
-#: Bytes of the list up to which the exact join broadcasts it; beyond, it is a salted shuffled hash join.
+#: Bytes of the list up to which the exact join broadcasts it; beyond, it is a shuffled hash join.
 MAX_BROADCAST = 16 << 20
 BITS = 4
 
@@ -42,12 +42,17 @@ def _block(h: Column, words: int) -> Column:
     return F.pmod(h, F.lit(words)).cast("int")
 
 
-def bloom_words(keys: DataFrame, words: int) -> DataFrame:
-    """One row, one array<bigint> of `words` blocks, from a column `key`."""
+def bloom_blocks(keys: DataFrame, words: int) -> DataFrame:
+    """(b, m): the blocks of the filter that a key of the column `key` sets bits in, `words` at most."""
     h = F.xxhash64("key")
-    blocks = keys.select(_block(h, words).alias("b"), _mask(h).alias("m")).groupBy("b").agg(F.bit_or("m").alias("m"))
-    pairs = blocks.agg(F.map_from_entries(F.collect_list(F.struct("b", "m"))).alias("at"))
-    return pairs.select(F.transform(F.sequence(F.lit(0), F.lit(words - 1)), lambda i: F.coalesce(F.try_element_at("at", i), F.lit(0).cast("bigint"))).alias("words"))
+    return keys.select(_block(h, words).alias("b"), _mask(h).alias("m")).groupBy("b").agg(F.bit_or("m").alias("m"))
+
+
+def maybe_listed(keys: DataFrame, blocks: DataFrame, words: int) -> DataFrame:
+    """keys with `key` null where the filter says that it isn't listed. The blocks are broadcast: MAX_WORDS rows of 12 bytes at most."""
+    h = F.xxhash64("key")
+    met = keys.join(F.broadcast(blocks), _block(h, words) == F.col("b"), "left")
+    return met.withColumn("key", F.when(F.col("m").bitwiseAND(_mask(h)) == _mask(h), F.col("key"))).drop("b", "m")
 
 
 def judge(pages: DataFrame, listed: DataFrame, id_col="page_id", url_col="url", default: str = "allow") -> DataFrame:
@@ -59,7 +64,7 @@ def judge(pages: DataFrame, listed: DataFrame, id_col="page_id", url_col="url",
     (same id, host and path) are all returned. Other columns of pages are not
     looked at, so their names can't clash. Hot hosts: rows are pre-aggregated
     before the only shuffle of pages, and the exact join broadcasts the list
-    while it is at most MAX_BROADCAST bytes, else salts its keys.
+    while it is at most MAX_BROADCAST bytes, else Spark splits a hot key.
     """
     host, path = host_path(F.col(url_col).cast("string"))
     pages = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
@@ -75,26 +80,18 @@ def judge(pages: DataFrame, listed: DataFrame, id_col="page_id", url_col="url",
     if not n:
         return pages.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     words = min(MAX_WORDS, 1 << max(4, (n * 2 - 1).bit_length() - 2))
-    bloom = bloom_words(rules.select("key"), words)
-
     suffixes = F.array_distinct(F.array(*[F.substring_index("host", ".", -c) for c in labels]))
     prefixes = F.filter(F.array(*[F.when(F.length("path") >= c, F.substring("path", 1, c)) for c in lengths]), lambda p: p.isNotNull())
     keys = F.flatten(F.transform(suffixes, lambda h: F.transform(prefixes, lambda p: F.concat(h, p))))
-    filter_words = bloom.select("words").scalar()
-
-    def maybe(key: Column) -> Column:
-        h = F.xxhash64(key)
-        m = _mask(h)
-        return F.element_at(F.col("__bloom"), _block(h, words) + 1).bitwiseAND(m) == m
-
-    hits = pages.withColumn("__keys", keys).withColumn("__bloom", filter_words).withColumn("__keys", F.filter("__keys", maybe)).drop("__bloom")
-    hits = hits.select("page_id", "host", "path", F.posexplode_outer("__keys").alias("pos", "key"))
+    tried = pages.select("page_id", "host", "path", F.posexplode_outer(keys).alias("pos", "key"))
+    hits = maybe_listed(tried, bloom_blocks(rules.select("key"), words), words)
     if size <= MAX_BROADCAST:
         exact = hits.join(F.broadcast(rules.select("key", "action")), "key", "left")
     else:
-        salts = 16
-        salted = rules.select("key", "action", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-        exact = hits.withColumn("salt", F.pmod(F.xxhash64("page_id", "host", "path"), F.lit(salts)).cast("int")).join(salted.hint("shuffle_hash"), ["key", "salt"], "left")
+        # Keys that can't be listed are spread by page; a hot listed key is one partition that Spark splits, as no state is held for it.
+        spread = F.coalesce("key", F.concat(F.lit("\0"), F.xxhash64("page_id", "host", "path", "pos").cast("string")))
+        named = rules.select(F.col("key").alias("listed"), "action").hint("shuffle_hash")
+        exact = hits.withColumn("spread", spread).join(named, F.col("spread") == F.col("listed"), "left").drop("spread", "listed").withColumn("action", F.when(F.col("key").isNotNull(), F.col("action")))
     found = F.when(F.col("action").isNotNull(), F.struct(F.length("key").alias("n"), F.col("key").alias("rule"), "action"))
     judged = exact.groupBy("page_id", "host", "path").agg(F.max(found).alias("best"), F.count_if(F.coalesce(F.col("pos"), F.lit(0)) == 0).alias("copies"))
     judged = judged.withColumn("copies", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies")))
