@@ -9,14 +9,17 @@ hash, whose candidates are compared word by word.
 
 from __future__ import annotations
 
+from array import array
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FEW, cut, map_arrow, raw_texts
+from .common import FEW, drop_rows, map_arrow, raw_texts, row_key, written
 
 WINDOW = 10
-#: Bytes of benchmark text that one broadcast searcher covers; a larger benchmark is searched in blocks of so much.
-BLOCK_BYTES = 8 << 20
+#: Bytes of benchmark text that one broadcast searcher covers; a larger benchmark is searched in blocks of so much. 2 MB of text make tables of 22 MB pickled, and about 170 MB while they are built.
+BLOCK_BYTES = 2 << 20
 #: Lower-cases A-Z and turns all bytes that aren't 0-9, a-z or of a non-ASCII character into spaces.
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -26,35 +29,55 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 class Searcher:
-    """Wu-Manber tables over word numbers, one set for each pattern length."""
+    """Wu-Manber tables over word numbers, one set for each pattern length.
+
+    The distinct patterns of a length are rows of one array, in order of their
+    last block; a bucket is a range of rows.
+    """
 
     def __init__(self, items: list[tuple[int | None, bytes | None]], window: int = WINDOW) -> None:
         self.number: dict[bytes, int] = {}
-        patterns: dict[int, dict[tuple[int, ...], set[int]]] = {}
-        for item, text in items:
+        words: dict[int, list[list[int]]] = {}
+        owner: dict[int, list[int]] = {}
+        for k, (_, text) in enumerate(items):
             w = [self.number.setdefault(x, len(self.number) + 1) for x in words_of(text)]
             m = min(window, len(w))
-            for k in range(len(w) - m + 1 if m else 0):
-                patterns.setdefault(m, {}).setdefault(tuple(w[k : k + m]), set()).update(() if item is None else (item,))
+            if m:
+                words.setdefault(m, []).append(w)
+                owner.setdefault(m, []).append(k)
+        self.ids = [i for i, _ in items]
         self.base = len(self.number) + 1
-        self.tables = [self._table(m, p) for m, p in sorted(patterns.items())]
-
-    def _table(self, m: int, patterns: dict) -> tuple:
-        b, shift, buckets = min(2, m), {}, {}
-        for p, ids in patterns.items():
-            for end in range(b, m + 1):
-                block = p[end - 1] + (p[end - 2] * self.base if b == 2 else 0)
-                shift[block] = min(shift.get(block, m), m - end)
-            buckets.setdefault(block, []).append((p, frozenset(ids)))
-        return m, b, shift, buckets
+        self.tables = [self._table(m, words[m], owner[m]) for m in sorted(words)]
+
+    def _table(self, m: int, texts: list[list[int]], owner: list[int]) -> tuple:
+        windows = np.concatenate([np.lib.stride_tricks.sliding_window_view(np.array(w, np.int32), m) for w in texts])
+        item = np.repeat(np.array(owner, np.int32), [len(w) - m + 1 for w in texts])
+        patterns, of = np.unique(windows, axis=0, return_inverse=True)
+        b = min(2, m)
+        blocks = [patterns[:, end - 1].astype(np.int64) + (patterns[:, end - 2].astype(np.int64) * self.base if b == 2 else 0) for end in range(b, m + 1)]
+        order = np.argsort(blocks[-1], kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        pairs = np.unique(np.stack([place[of.ravel()], item], 1), axis=0)  # (pattern, item) once each
+        patterns, last = patterns[order], blocks[-1][order]
+        shift: dict[int, int] = {}
+        for k, block in enumerate(blocks):  # later positions have smaller shifts
+            shift.update(dict.fromkeys(np.unique(block).tolist(), m - b - k))
+        starts = np.flatnonzero(np.r_[True, last[1:] != last[:-1]])
+        buckets = dict(zip(last[starts].tolist(), starts.tolist(), strict=True))
+        ends = np.r_[starts[1:], len(last)]
+        end_of = np.zeros(len(last), np.int32)
+        end_of[starts] = ends
+        first_item = np.searchsorted(pairs[:, 0], np.arange(len(patterns) + 1)).astype(np.int32)
+        return m, b, shift, buckets, end_of, patterns.astype(np.int32).tobytes(), first_item, pairs[:, 1].astype(np.int32)
 
     def find(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
         """Spans of words (start, end) inside occurrences, merged and in order, and the items that occur."""
         get, base = self.number.get, self.base
         w = [get(x, 0) for x in words]
         n, spans, found = len(w), [], set()
-        for m, b, shift, buckets in self.tables:
-            at, skip = m - 1, m - b + 1
+        for m, b, shift, buckets, end_of, patterns, first_item, items in self.tables:
+            at, skip, size = m - 1, m - b + 1, 4 * m
             look = shift.get
             while at < n:
                 last = w[at]
@@ -67,11 +90,13 @@ class Searcher:
                     at += step
                     continue
                 start = at - m + 1
-                here = tuple(w[start : at + 1])
-                for p, ids in buckets[block]:
-                    if p == here:
+                here = array("i", w[start : at + 1]).tobytes()
+                bucket = buckets[block]
+                for p in range(bucket, int(end_of[bucket])):
+                    if patterns[p * size : (p + 1) * size] == here:
                         spans.append((start, at + 1))
-                        found |= ids
+                        found.update(items[first_item[p] : first_item[p + 1]].tolist())
+                        break
                 at += 1
         spans.sort()
         merged: list[tuple[int, int]] = []
@@ -80,7 +105,7 @@ class Searcher:
                 merged[-1] = (merged[-1][0], max(e, merged[-1][1]))
             else:
                 merged.append((s, e))
-        return merged, found
+        return merged, {self.ids[k] for k in found} - {None}
 
 
 def _blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int):
@@ -99,65 +124,93 @@ def _blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int):
 
 
 def mark(docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="text", item_id="item_id", item_text="text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs with __n_words, __spans array<struct<s,e>> of hit words and __items array<bigint> (sorted), all columns kept.
-
-    A benchmark of more than block_bytes is searched in blocks, one broadcast
-    after another, with the marks so far written to the shared folder between
-    them; windows never cross items, so blocks lose none. Null texts have no
-    words; items with null or wordless text match nothing; a null item id still
-    marks words, but isn't listed. An empty benchmark marks nothing.
+    """(doc_id, row, n_words, spans array<struct<s,e>> of hit words, items array<bigint>, sorted), one row for each row of docs.
+
+    row tells rows of one id apart (common.row_key). A benchmark of more than
+    block_bytes is searched in blocks, one broadcast after another; what a block
+    finds is written to the shared folder without the texts, and the findings
+    are put together by row at the end. Windows never cross items, so blocks
+    lose none. Null texts have no words; items with null or wordless text match
+    nothing; a null item id still marks words, but isn't listed. An empty
+    benchmark marks nothing, an empty table has no rows.
     """
-    at = [c.lower() for c in docs.columns].index(text_col.lower())
-    base = docs.withColumns({"__n_words": F.lit(0).cast("bigint"), "__spans": F.lit(None).cast("array<struct<s:bigint,e:bigint>>"), "__items": F.lit(None).cast("array<bigint>")})
-    out, n = base, 0
+    i, key = row_key(id_col, text_col)
+    own = docs.select(i.alias("doc_id"), key.alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    send = docs.sparkSession.sparkContext.broadcast
+    found: list[DataFrame] = []
+    last = None
     for block in _blocks(items, item_id, item_text, block_bytes):
-        if n:
-            out = cut(out)
-        out, n = _search(out, docs.sparkSession.sparkContext.broadcast(Searcher(block, window)), at), n + 1
-    if not n:
-        out = _search(out, docs.sparkSession.sparkContext.broadcast(Searcher([], window)), at)
-    return out
-
-
-def _search(marked: DataFrame, searcher, at: int) -> DataFrame:
+        if last is not None:
+            found.append(written(_search(own, send(Searcher(last, window))).where("size(spans) > 0"), "decontamination"))
+        last = block
+    out = _search(own, send(Searcher(last or [], window)))
+    if not found:
+        return out
+    for more in found[1:]:
+        found[0] = found[0].unionByName(more)
+    # What several blocks find in a row of docs: only rows with a hit meet here, each with one row for a block at most.
+    before = found[0].distinct().groupBy(F.col("doc_id").alias("__i"), F.col("row").alias("__r")).agg(F.flatten(F.collect_list("spans")).alias("__s"), F.flatten(F.collect_list("items")).alias("__t"))
+    both = out.join(before, F.col("doc_id").eqNullSafe(F.col("__i")) & (F.col("row") == F.col("__r")), "left")
+    none = F.array().cast("array<struct<s:bigint,e:bigint>>")
+    spans = F.array_sort(F.concat("spans", F.coalesce("__s", none)))
+    merged = F.aggregate(spans, none, lambda a, x: F.when((F.size(a) > 0) & (F.try_element_at(a, F.lit(-1))["e"] >= x["s"]), F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(F.try_element_at(a, F.lit(-1))["s"].alias("s"), F.greatest(F.try_element_at(a, F.lit(-1))["e"], x["e"]).alias("e"))))).otherwise(F.concat(a, F.array(x))))
+    listed = F.array_sort(F.array_distinct(F.concat("items", F.coalesce("__t", F.array().cast("array<bigint>")))))
+    return both.select("doc_id", "row", "n_words", merged.alias("spans"), listed.alias("items"))
+
+
+_MARKED = "doc_id bigint, row bigint, n_words bigint, spans array<struct<s:bigint,e:bigint>>, items array<bigint>"
+
+
+def _search(own: DataFrame, searcher) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        find = searcher.value.find
+        find, span = searcher.value.find, pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
         for b in batches:
-            k = b.num_columns - 3
             counts, spans, lists = [], [], []
-            for text, old, ids in zip(raw_texts(b.column(at)), b.column(k + 1).to_pylist(), b.column(k + 2).to_pylist(), strict=True):
+            for text in raw_texts(b.column("text")):
                 words = words_of(text)
                 got, found = find(words)
-                if old:
-                    both, got = sorted(got + [(x["s"], x["e"]) for x in old]), []
-                    for s, e in both:
-                        if got and s <= got[-1][1]:
-                            got[-1] = (got[-1][0], max(e, got[-1][1]))
-                        else:
-                            got.append((s, e))
                 counts.append(len(words))
                 spans.append([{"s": s, "e": e} for s, e in got])
-                lists.append(sorted(found.union(ids or ())))
-            span = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([*b.columns[:k], pa.array(counts, pa.int64()), pa.array(spans, span), pa.array(lists, pa.list_(pa.int64()))], b.schema.names)
+                lists.append(sorted(found))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), pa.array(counts, pa.int64()), pa.array(spans, span), pa.array(lists, pa.list_(pa.int64()))], ["doc_id", "row", "n_words", "spans", "items"])
 
-    return map_arrow(marked, run, marked.schema, FEW)
+    return map_arrow(own, run, _MARKED, FEW)
 
 
 def report(docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="text", **options) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    m = mark(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")), items, "doc_id", "text", **options)
-    hit = F.aggregate("__spans", F.lit(0).cast("bigint"), lambda a, x: a + x["e"] - x["s"])
-    ids = F.array_join(F.array_sort(F.transform("__items", lambda x: x.cast("string"))), ",")
-    m = m.select("doc_id", F.col("__n_words").alias("n_words"), hit.alias("n_hit"), F.size("__items").cast("bigint").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"))
+    m = mark(docs, items, id_col, text_col, **options)
+    hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, x: a + x["e"] - x["s"])
+    ids = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
+    m = m.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"))
     return m.withColumn("contaminated", F.col("n_hit") > 0)
 
 
-def clean(docs: DataFrame, items: DataFrame, text_col="text", **options) -> DataFrame:
-    """The rows of docs without a hit word, columns unchanged."""
-    return mark(docs, items, text_col=text_col, **options).where("size(__spans) = 0").select(*[F.col(f"`{c}`") for c in docs.columns])
+def clean(docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="text", item_id="item_id", item_text="text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of docs without a hit word, columns unchanged, whatever their names.
+
+    A benchmark of one block is searched while the rows stream past; of more,
+    the rows that any block hits are dropped by id and text.
+    """
+    at, send = [c.lower() for c in docs.columns].index(text_col.lower()), docs.sparkSession.sparkContext.broadcast
+    blocks = _blocks(items, item_id, item_text, block_bytes)
+    first = next(blocks, [])
+    second = next(blocks, None)
+    if second is not None:
+        hit = mark(docs, items, id_col, text_col, item_id, item_text, window, block_bytes).where("size(spans) > 0")
+        return drop_rows(docs, hit.select("doc_id", "row"), id_col, text_col)
+    searcher = send(Searcher(first, window))
+
+    def run(batches):
+        import pyarrow as pa
+
+        find = searcher.value.find
+        for b in batches:
+            yield b.filter(pa.array([not find(words_of(t))[0] for t in raw_texts(b.column(at))], pa.bool_()))
+
+    return map_arrow(docs, run, docs.schema, FEW)
 
 
 SQL = r"""

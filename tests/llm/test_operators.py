@@ -110,12 +110,12 @@ def url_of(url, rules, default):
 
 
 @pytest.mark.parametrize("broadcast", [True, False])
-@pytest.mark.parametrize("more", [0, 300])
+@pytest.mark.parametrize("more", [0, 300, 3000])
 def test_url_filter(spark, monkeypatch, broadcast, more):
     if not broadcast:
         monkeypatch.setattr(urlfilter, "MAX_BROADCAST", 0)
     rules = urlfilter.RULES + [(f"site{k}.org", "/a" + "b" * (k % 5), "block" if k % 2 else "allow") for k in range(more)]
-    urls = URLS + [f"http://w.site{k}.org/abbbb{k}" for k in range(0, 400, 7)]
+    urls = URLS + [f"http://w.site{k}.org/abbbb{k}" for k in range(0, 400, 7)] + ["http://" + "a." * 3000 + "example.com/en/" + "x/" * 20_000]
     pages = [(k % 60, u, "x", "x", "x") for k, u in enumerate(urls * 2)] + [(None, "http://a.com/", "x", "x", "x")] * 3 + [(7, URLS[4], "x", "x", "x")] * 5
     df = spark.createDataFrame(pages, "page_id bigint, url string, host string, rule string, action string")
     got = urlfilter.judge(df, spark.createDataFrame(rules, "host string, path string, action string"))
@@ -131,11 +131,10 @@ def test_url_filter_with_an_empty_list(spark):
 
 def test_bloom_filter_has_no_false_negatives(spark):
     keys = spark.range(5000).select(F.concat(F.lit("k"), "id").alias("key"))
-    words = urlfilter.bloom_words(keys, 1024).first().words
-    probe = spark.range(10_000).select(F.concat(F.lit("k"), "id").alias("key"), F.array(*[F.lit(w) for w in words]).alias("w"))
-    h = F.xxhash64("key")
-    hit = probe.select("key", (F.element_at("w", urlfilter._block(h, 1024) + 1).bitwiseAND(urlfilter._mask(h)) == urlfilter._mask(h)).alias("hit"))
-    got = {r.key for r in hit.where("hit").collect()}
+    probe = spark.range(10_000).select(F.concat(F.lit("k"), "id").alias("key"), F.concat(F.lit("k"), "id").alias("own"))
+    met = urlfilter.maybe_listed(probe, urlfilter.bloom_blocks(keys, 1024), 1024).collect()
+    got = {r.key for r in met if r.key is not None}
+    assert len(met) == 10_000 and all(r.key in (None, r.own) for r in met)
     assert {f"k{i}" for i in range(5000)} <= got and len(got) < 8000
 
 
@@ -315,8 +314,8 @@ def slow_report(texts, items, window=10):
 
 @pytest.mark.parametrize("block", [1 << 20, 30])
 def test_decontamination(spark, block):
-    texts = list(enumerate(TEXTS)) + [(None, TEXTS[0]), (0, TEXTS[0])]
-    df = spark.createDataFrame([(i, t, "x", 1) for i, t in texts], "doc_id bigint, text string, n_hit string, item_id int")
+    texts = list(enumerate(TEXTS)) + [(None, TEXTS[0]), (0, TEXTS[0]), (1, "of the same id"), (None, "nothing of it"), (90, "long " * 60_000 + TEXTS[0])]
+    df = spark.createDataFrame([(i, t, "x", 1, "x", 2, "x") for i, t in texts], "doc_id bigint, text string, n_hit string, item_id int, __items string, __spans int, row string")
     items = spark.createDataFrame([(*x, "x") for x in ITEMS], "item_id bigint, text string, doc_id string")
     same(decontam.report(df, items, block_bytes=block).collect(), slow_report(texts, ITEMS))
     kept = decontam.clean(df, items, block_bytes=block)
