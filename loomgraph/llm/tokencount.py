@@ -89,16 +89,52 @@ class TokenCounter:
         return list(accumulate(self.chunks.all([(text or b"").split()])[0]))
 
     def truncate(self, text: bytes, budget: int) -> bytes:
-        """The longest prefix of whole chunks with at most budget tokens; the whole text if it fits."""
+        """The longest prefix in whole characters with at most budget tokens; the whole text if it fits.
+
+        Chunks are counted once and, in the first that doesn't fit, words; in the
+        word where the budget runs out the prefix table counts every prefix, its
+        last character as a word's end. Where the normal form of that chunk has
+        another length, a prefix within the budget is searched by halves and may
+        not be the longest.
+        """
         fit = bisect_right(counts := self.prefix_counts(text), budget)
         if fit == len(counts):
             return text
-        end = 0
+        end, chunk, start = 0, "", 0
         for k, m in enumerate(re.finditer(rb"[^\x20\x09-\x0D]+", text)):
             if k == fit:
+                chunk, start = m[0].decode("utf-8"), m.start()
                 break
             end = m.end()
-        return text[:end]
+        n = self._fitting(chunk, budget - (counts[fit - 1] if fit else 0))
+        return text[:start] + chunk[:n].encode("utf-8") if n else text[:end]
+
+    def _fitting(self, chunk: str, left: int) -> int:
+        """Characters of a prefix of the chunk, which doesn't fit, with at most `left` tokens."""
+        if left <= 0:
+            return 0
+        exact = lambda n: self.count(chunk[:n].encode("utf-8"))
+        normal = self.normal(chunk)
+        words = self.cut(normal)
+        if len(normal) == len(chunk) and not (self.added and self.added.search(chunk)) and sum(len(w) for w, _ in words) == len(normal.encode("utf-8")):
+            done = at = 0
+            for (word, (start, end)), n in zip(words, self.words.all([[w for w, _ in words]])[0], strict=True):
+                if done + n > left:
+                    break
+                done, at = done + n, end
+            letters = list(accumulate(len(c.encode("utf-8")) for c in normal[start:end]))  # the file's words hold a letter for each byte
+            table = PrefixTable(self.vocabulary, list(word))
+            for k in range(end - start - 1, 0, -1):
+                table.truncate(letters[k - 1] - 1)
+                table.append([word[letters[k - 1] - 1] + self.end])
+                if done + table.count[-1] <= left and exact(start + k) <= left:
+                    return start + k
+            return at
+        low, high = 0, len(chunk)
+        while high - low > 1:
+            mid = (low + high) // 2
+            low, high = (mid, high) if exact(mid) <= left else (low, mid)
+        return low
 
 
 @cache

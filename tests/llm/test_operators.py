@@ -557,12 +557,25 @@ def test_prefix_counts_and_truncation():
     for budget in range(counts[-1] + 2):
         cut = own.truncate(text.encode(), budget).decode()
         assert len(library_ids(cut)) <= budget and text.startswith(cut)
-        assert len(cut.split()) == sum(c <= budget for c in counts)
+        assert len(cut.split()) >= sum(c <= budget for c in counts)
     word = "thereation"
     table = own.table(word)
     assert table.tokens() == [own.vocabulary.ids[t] for t in own.vocabulary.merged([*word[:-1], word[-1] + "</w>"])]
 
 
+def test_truncation_inside_a_chunk():
+    own, rng = tokencount.counter(WORD_FILE), random.Random(3)
+    for k in range(40):
+        text = "".join(rng.choices(["th", "er", "ing", "é", "1", ".", "don't", "ß", " " if k % 2 else "x"], k=25))
+        whole = len(library_ids(text))
+        for budget in range(0, whole + 1, 3):
+            best = max(n for n in range(len(text) + 1) if len(library_ids(text[:n])) <= budget)
+            assert own.truncate(text.encode(), budget).decode().rstrip() == text[:best].rstrip(), (text, budget)
+    long = "thereation" * 6000
+    assert len(library_ids(own.truncate(long.encode(), 10).decode())) <= 10 < len(library_ids(own.truncate(long.encode(), 11).decode())) + 1
+    assert len(own.truncate(long.encode(), 2000)) > 2000
+
+
 # 9
 
 
