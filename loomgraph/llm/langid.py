@@ -16,13 +16,17 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import FEW, map_arrow, two_columns
+from .common import FEW, map_arrow, row_key, two_columns, written
 
 UND = "und"
 #: Code points handled at once; longer texts are cut with an overlap, which loses no n-gram.
 PIECE = 1 << 20
 #: Times the wanted sample that passes the first, hash-bounded choice.
 OVERSAMPLE = 16
+#: Characters of the longest landmark: their whole texts reach the driver.
+MARK_CHARS = 1 << 16
+#: Bytes up to which the landmark matrix is held whole; beyond, only its entries are.
+DENSE_BYTES = 64 << 20
 
 
 def has_letter(text: str | None) -> bool:
@@ -48,46 +52,66 @@ def ngrams(text: str, max_n: int) -> list[np.ndarray]:
 
 @dataclass
 class Landmarks:
-    """Presence matrix of the landmark texts: vocab[n-1] are sorted codes, rows from first[n-1] on belong to them."""
+    """Presence matrix of the landmark texts: vocab[n-1] are sorted codes, rows from first[n-1] on belong to them.
+
+    The rows' landmarks are `marks`, from starts[row] to starts[row + 1]. Up to
+    DENSE_BYTES the matrix is also held whole, which multiplies faster.
+    """
 
     max_n: int
     vocab: list[np.ndarray]
     first: list[int]
-    matrix: np.ndarray  # n-grams x landmarks, 0 or 1 over the root of the landmark's own number
+    starts: np.ndarray
+    marks: np.ndarray
+    own: np.ndarray  # n-grams of each landmark
+    matrix: np.ndarray | None
 
     @classmethod
-    def of(cls, texts: list[str], max_n: int) -> Landmarks:
+    def of(cls, texts: list[str], max_n: int, dense_bytes: int = DENSE_BYTES) -> Landmarks:
         grams = [ngrams(t, max_n) for t in texts]
         vocab = [np.unique(np.concatenate([g[n] for g in grams])) for n in range(max_n)]
         first = np.cumsum([0, *map(len, vocab)]).tolist()
-        matrix = np.zeros((first[-1], len(texts)), np.float32)
-        for j, g in enumerate(grams):
-            for n in range(max_n):
-                matrix[first[n] + np.searchsorted(vocab[n], g[n]), j] = 1
-        return cls(max_n, vocab, first[:-1], matrix / np.sqrt(np.maximum(1, matrix.sum(0))))
+        rows = np.concatenate([first[n] + np.searchsorted(vocab[n], g[n]) for g in grams for n in range(max_n)]).astype(np.int64)
+        marks = np.repeat(np.arange(len(texts), dtype=np.int32), [sum(map(len, g)) for g in grams])
+        starts = np.searchsorted(np.sort(rows), np.arange(first[-1] + 1))
+        matrix = None
+        if 4 * first[-1] * len(texts) <= dense_bytes:
+            matrix = np.zeros((first[-1], len(texts)), np.float32)
+            matrix[rows, marks] = 1
+        own = np.maximum(1, np.bincount(marks, minlength=len(texts)))
+        return cls(max_n, vocab, first[:-1], starts, marks[np.argsort(rows, kind="stable")], own, matrix)
+
+    def rows_of(self, text: str) -> tuple[np.ndarray, int]:
+        """Rows of the n-grams that the text shares with the landmarks, and how many it has."""
+        found, total = [], 0
+        for n, codes in enumerate(ngrams(text, self.max_n)):
+            total += len(codes)
+            vocab = self.vocab[n]
+            if len(codes) and len(vocab):
+                few, many = (codes, vocab) if len(codes) < len(vocab) else (vocab, codes)
+                at = np.searchsorted(many, few)
+                at[at == len(many)] = 0
+                hit = many[at] == few
+                found.append(self.first[n] + (at[hit] if few is codes else np.flatnonzero(hit)))
+        return np.concatenate(found) if found else np.zeros(0, np.int64), total
 
     def kernel(self, texts: list[str], batch: int = 128) -> np.ndarray:
         """Normalised kernel of each text with each landmark, a batch of texts per matrix product."""
-        out = np.zeros((len(texts), self.matrix.shape[1]), np.float32)
+        out = np.zeros((len(texts), len(self.own)), np.float32)
         for at in range(0, len(texts), batch):
-            some = texts[at : at + batch]
-            x, own = np.zeros((len(some), len(self.matrix)), np.float32), np.ones(len(some), np.float32)
-            for i, text in enumerate(some):
-                total = 0
-                for n, codes in enumerate(ngrams(text, self.max_n)):
-                    total += len(codes)
-                    vocab = self.vocab[n]
-                    if len(codes) and len(vocab):
-                        if len(codes) < len(vocab):
-                            at_v = np.searchsorted(vocab, codes)
-                            at_v[at_v == len(vocab)] = 0
-                            x[i, self.first[n] + at_v[vocab[at_v] == codes]] = 1
-                        else:
-                            at_c = np.searchsorted(codes, vocab)
-                            at_c[at_c == len(codes)] = 0
-                            x[i, self.first[n] : self.first[n] + len(vocab)] = codes[at_c] == vocab
-                own[i] = max(1, total)
-            out[at : at + len(some)] = (x @ self.matrix) / np.sqrt(own)[:, None]
+            rows, totals = zip(*map(self.rows_of, texts[at : at + batch]), strict=True)
+            if self.matrix is not None:
+                x = np.zeros((len(rows), len(self.matrix)), np.float32)
+                for i, r in enumerate(rows):
+                    x[i, r] = 1
+                both = x @ self.matrix
+            else:  # rows of the sparse matrix, added up a text at a time
+                both = np.zeros((len(rows), len(self.own)), np.float32)
+                for i, r in enumerate(rows):
+                    n = self.starts[r + 1] - self.starts[r]
+                    places = np.repeat(self.starts[r] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                    both[i] = np.bincount(self.marks[places], minlength=len(self.own))
+            out[at : at + len(rows)] = both / np.sqrt(np.maximum(1, totals))[:, None] / np.sqrt(self.own)
         return out
 
 
@@ -122,21 +146,28 @@ def fit(docs: DataFrame, learn: Column, id_col="doc_id", text_col="text", lang_c
     """Learn from rows where `learn` holds and text, id and language aren't null.
 
     The sample is bounded: of each language the per_lang rows with the smallest
-    hash of the id (fewer if most of a language's texts are null or without a
-    letter), of which the first marks_per_lang are landmarks. Texts are
-    whole. Rows of the sample reach the driver as kernel values only; the
-    landmarks' texts come whole. No labelled row: a model that says `und`.
+    hash of id and text (fewer if most of a language's texts are null or without
+    a letter), and of these the first marks_per_lang of up to MARK_CHARS
+    characters are landmarks. Rows that share an id are told apart by their
+    texts; repeated rows count once. The table is read twice, for the number of
+    rows of each language and for what may be in the sample, which is written.
+    Rows of the sample reach the driver as kernel values only, the landmarks
+    whole. No labelled row, or no landmark: a model that says `und`.
     """
-    rows = docs.where(learn).select(F.col(id_col).cast("bigint").alias("i"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("l")).where("i IS NOT NULL AND t IS NOT NULL AND l IS NOT NULL AND t RLIKE '\\\\p{L}'")
-    ids, by_hash = rows.select("i", "l"), F.xxhash64("i")
+    i, key = row_key(id_col, text_col)
+    t, lang = F.col(f"`{text_col}`").cast("string"), F.col(f"`{lang_col}`").cast("string")
+    rows = docs.where(learn).select(i.alias("i"), t.alias("t"), lang.alias("l"), key.alias("h")).where("i IS NOT NULL AND t IS NOT NULL AND l IS NOT NULL")
     # Hashes that could be among the smallest: OVERSAMPLE times as many as wanted, so that a language's one task gets as many rows at any size.
-    known = docs.where(learn).select(F.col(lang_col).cast("string").alias("l")).where("l IS NOT NULL").groupBy("l").agg(F.count("l").alias("n"))
+    known = docs.where(learn).select(lang.alias("l")).where("l IS NOT NULL").groupBy("l").agg(F.count("l").alias("n"))
     share = F.least(F.lit(1.0), F.lit(float(OVERSAMPLE * per_lang)) / F.col("n"))
     known = known.select(F.col("l").alias("kl"), (F.lit(-(2.0**63)) + share * F.lit(2.0**64)).alias("most"))
-    low = ids.join(F.broadcast(known), F.col("l") == F.col("kl")).where(by_hash.cast("double") <= F.col("most"))  # a row a language
-    chosen = low.select("i", "l").withColumn("rank", F.row_number().over(Window.partitionBy("l").orderBy(by_hash, "i"))).where(F.col("rank") <= per_lang).dropDuplicates(["i"])
-    sample = rows.drop("l").join(F.broadcast(chosen), "i").dropDuplicates(["i"])  # per_lang rows a language: a bound that doesn't grow
-    marks = sorted((r for r in sample.where(F.col("rank") <= marks_per_lang).collect()), key=lambda r: (r.l, r["rank"]))
+    low = rows.join(F.broadcast(known), F.col("l") == F.col("kl")).where(F.col("h").cast("double") <= F.col("most")).where("t RLIKE '\\\\p{L}'")  # a row a language
+    low = written(low.select("i", "t", "l", "h"), "languages")
+    by_hash = Window.partitionBy("l").orderBy("h", "i")
+    chosen = low.select("i", "l", "h", (F.length("t") <= MARK_CHARS).alias("fits")).distinct().withColumn("rank", F.row_number().over(by_hash)).where(F.col("rank") <= per_lang)
+    chosen = chosen.withColumn("mark", F.when(F.col("fits"), F.sum(F.col("fits").cast("int")).over(by_hash))).select(F.col("l").alias("cl"), F.col("h").alias("ch"), F.col("i").alias("ci"), "mark")
+    sample = low.join(F.broadcast(chosen), (F.col("l") == F.col("cl")) & (F.col("h") == F.col("ch")) & (F.col("i") == F.col("ci"))).dropDuplicates(["l", "h", "i"]).select("l", "h", "i", "t", "mark")  # per_lang rows a language: a bound that doesn't grow
+    marks = sorted(sample.where(F.col("mark") <= marks_per_lang).collect(), key=lambda r: (r.l, r.mark))
     if not marks:
         return LanguageModel([], Landmarks.of([""], max_n), np.zeros((1, 0), np.float32))
     landmarks = Landmarks.of([r.t for r in marks], max_n)
@@ -148,9 +179,9 @@ def fit(docs: DataFrame, learn: Column, id_col="doc_id", text_col="text", lang_c
 
         for b in batches:
             k = shared.value.kernel(b.column("t").to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column("l"), b.column("i"), pa.array(list(k), pa.list_(pa.float32()))], ["l", "i", "k"])
+            yield pa.RecordBatch.from_arrays([b.column("l"), b.column("h"), pa.array(list(k), pa.list_(pa.float32()))], ["l", "h", "k"])
 
-    got = sorted(map_arrow(sample.select("l", "i", "t"), kernels, "l string, i bigint, k array<float>").collect(), key=lambda r: (r.l, r.i))
+    got = sorted(map_arrow(sample.select("l", "h", "t"), kernels, "l string, h bigint, k array<float>").collect(), key=lambda r: (r.l, r.h))
     langs = sorted({r.l for r in got})
     targets = np.array([[1.0 if r.l == x else -1.0 for x in langs] for r in got])
     return LanguageModel(langs, landmarks, ridge(np.array([r.k for r in got]), (own + own.T) / 2, targets, penalty))

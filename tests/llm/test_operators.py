@@ -80,6 +80,39 @@ def test_language_held_out_accuracy(docs, rows, no_docs):
     assert {r.lang_pred for r in langid.classify(docs, empty).collect()} == {"und"}
 
 
+def test_language_id_end_to_end_by_brute_force(spark, docs, rows):
+    """Sample, landmarks, kernels, map, regression and scores again, from sets and dense algebra."""
+    more = [(200, "the same id, other text", "en"), (200, "le même texte que non", "fr"), (3, rows[3][1], rows[3][2])]
+    df = docs.select("doc_id", "text", "lang").unionByName(spark.createDataFrame(more, "doc_id bigint, text string, lang string"))
+    model = langid.fit(df, F.crc32(F.col("doc_id").cast("string")) % 3 != 1, marks_per_lang=3, penalty=0.1)
+    keys = key_of(df)
+    learned = {(lang, keys[i, t], i, t) for i, t, lang in [*rows, *more] if None not in (i, t, lang) and zlib.crc32(str(i).encode()) % 3 != 1 and regex.search(r"\p{L}", t)}
+    order = sorted(learned)
+    marks = [t for x in ("de", "en", "fr") for t in [t for lang, _, _, t in order if lang == x and len(t) <= langid.MARK_CHARS][:3]]
+    k = lambda a, b: np.array([[kernel(x, y, 3) for y in b] for x in a])
+    values, vectors = np.linalg.eigh(k(marks, marks))
+    to_map = vectors[:, values > 1e-6 * values.max()] / np.sqrt(values[values > 1e-6 * values.max()])
+    phi = k([t for *_, t in order], marks) @ to_map
+    y = np.array([[1.0 if lang == x else -1.0 for x in ("de", "en", "fr")] for lang, *_ in order])
+    w = np.linalg.solve(phi.T @ phi + 0.1 * np.eye(phi.shape[1]), phi.T @ y)
+    some = [(i, t) for i, t, _ in [*rows, *more] if t is None or len(t) < 2000]
+    langs, scores = model.predict([t for _, t in some])
+    for (_, t), lang, score in zip(some, langs, scores, strict=True):
+        if not has_letter(t):
+            assert (lang, score) == ("und", 0)
+            continue
+        decided = (k([t], marks) @ to_map @ w)[0]
+        assert abs(score - min(1, max(0, (decided.max() + 1) / 2))) < 2e-3
+        assert lang == ("de", "en", "fr")[decided.argmax()] or np.ptp(np.sort(decided)[-2:]) < 2e-3
+
+
+def test_sparse_landmarks_equal_dense_ones(rows):
+    texts = [t for _, t, _ in rows if t][:30] + ["", "é"]
+    dense, sparse = (Landmarks.of(texts[::5], 3, size) for size in (1 << 26, 0))
+    assert dense.matrix is not None and sparse.matrix is None
+    assert np.allclose(dense.kernel(texts), sparse.kernel(texts), atol=1e-6)
+
+
 def test_ridge_solves_the_normal_equations():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(30, 5))
