@@ -70,7 +70,7 @@ _cypher("hop_with_properties", "Order Part", "MATCH (o:Order)-[l:CONTAINS]->(p:P
 _cypher("optional_match", "Order Part", "MATCH (o:Order) OPTIONAL MATCH (o)-[l:CONTAINS]->(p:Part) RETURN o.orderkey AS o, COUNT(p) AS parts", "SELECT o_orderkey AS o, count(l_partkey) AS parts FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1")
 _cypher("optional_missing", "Order Part", "MATCH (o:Order) OPTIONAL MATCH (o)-[:CONTAINS]->(p:Part) WITH o, p WHERE p.partkey IS NULL RETURN o.orderkey AS o", "SELECT o_orderkey AS o FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
 _cypher("shared_variable", "Customer Supplier Nation", "MATCH (c:Customer)-[:IN_NATION]->(n:Nation), (s:Supplier)-[:IN_NATION]->(n) WHERE c.acctbal > 9000 RETURN c.custkey AS c, s.suppkey AS s", "SELECT c_custkey AS c, s_suppkey AS s FROM customer JOIN supplier ON c_nationkey = s_nationkey WHERE c_acctbal > 9000")
-_cypher("cyclic_pattern", "User", "MATCH (a:User)-[x:NEXT]->(b:User)-[y:NEXT]->(a) RETURN a.user_id AS a, b.user_id AS b, COUNT(*) AS n", "WITH e AS (SELECT event_id, user_id AS src, lead(user_id) OVER (ORDER BY ts, event_id) AS dst FROM events) SELECT x.src AS a, x.dst AS b, count(*) AS n FROM e x JOIN e y ON x.dst = y.src AND y.dst = x.src AND x.event_id <> y.event_id WHERE x.src < 5 AND x.dst < 5 GROUP BY 1, 2")
+_cypher("cyclic_pattern", "User", "MATCH (a:User)-[x:NEXT]->(b:User)-[y:NEXT]->(a) RETURN a.user_id AS a, b.user_id AS b, COUNT(*) AS n", "WITH e AS (SELECT event_id, user_id AS src, lead(user_id) OVER (ORDER BY ts, event_id) AS dst FROM events) SELECT x.src AS a, x.dst AS b, count(*) AS n FROM e x JOIN e y ON x.dst = y.src AND y.dst = x.src AND x.event_id <> y.event_id GROUP BY 1, 2")
 
 # Projection, aggregation, order
 
@@ -84,7 +84,7 @@ _cypher("percentiles", "Part", "MATCH (p:Part) RETURN p.brand AS b, ROUND(PERCEN
 _cypher("aggregate_of_nothing", "Customer", "MATCH (c:Customer) WHERE c.custkey < 0 RETURN COUNT(*) AS n, SUM(c.acctbal) AS s", "SELECT count(*) AS n, 0.0::DOUBLE AS s FROM customer WHERE c_custkey < 0 HAVING count(*) > 0")
 _cypher("order_skip_limit", "Customer", "MATCH (c:Customer) RETURN c.custkey AS k, c.nationkey AS n, c.acctbal AS b ORDER BY n DESC, b SKIP 20 LIMIT 15", "SELECT c_custkey AS k, c_nationkey AS n, c_acctbal AS b FROM customer ORDER BY n DESC, b, k LIMIT 15 OFFSET 20")
 _cypher("union_distinct", "Customer Supplier", "MATCH (c:Customer) RETURN c.nationkey AS n UNION MATCH (s:Supplier) RETURN s.nationkey AS n", "SELECT c_nationkey AS n FROM customer UNION SELECT s_nationkey FROM supplier")
-_cypher("union_all", "Customer Supplier", "MATCH (c:Customer) RETURN c.nationkey AS n UNION ALL MATCH (s:Supplier) RETURN s.nationkey AS n", "SELECT c_nationkey AS n FROM customer WHERE c_custkey < 50 UNION ALL SELECT s_nationkey FROM supplier")
+_cypher("union_all", "Customer Supplier", "MATCH (c:Customer) RETURN c.nationkey AS n UNION ALL MATCH (s:Supplier) RETURN s.nationkey AS n", "SELECT c_nationkey AS n FROM customer UNION ALL SELECT s_nationkey FROM supplier")
 _cypher("call_subquery", "Customer Nation", "CALL { MATCH (c:Customer)-[:IN_NATION]->(n:Nation) RETURN n.name AS nation, COUNT(*) AS n } RETURN nation, n ORDER BY n DESC, nation LIMIT 5", "SELECT n_name AS nation, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1 ORDER BY n DESC, nation LIMIT 5")
 
 # Fluent
@@ -114,7 +114,7 @@ def fluent_int_filter(spark, sf):
 # Paths
 
 NEXT = "e AS (SELECT event_id, user_id AS src, lead(user_id) OVER (ORDER BY ts, event_id) AS dst FROM events), x AS (SELECT event_id, src, dst FROM e WHERE dst IS NOT NULL)"
-SPARSE = f"{NEXT}, s AS (SELECT src, dst FROM x WHERE event_id % 40 = 0)"
+EDGES = f"{NEXT}, s AS MATERIALIZED (SELECT DISTINCT src, dst FROM x)"
 
 
 def _users(spark: SparkSession, sf: str) -> PropertyGraph:
@@ -125,15 +125,16 @@ def _user(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*[(F.col(c) - F.lit(USER)).alias("user_id" if c == "id" else c) if c in ("id", "start", "component", "community", "parent", "a", "b", "c") else F.col(c) for c in columns or df.columns])
 
 
-_LEVELS = f"WITH RECURSIVE {SPARSE}, l(id, depth) AS (SELECT DISTINCT dst, 1 FROM s WHERE src = 0 UNION SELECT s.dst, l.depth + 1 FROM l JOIN s ON l.id = s.src WHERE l.depth < 12)"
+#: Least depth of what user 0 reaches, a level a round until nothing is new.
+_LEVELS = f"WITH RECURSIVE {EDGES}, l(id, depth) USING KEY (id) AS (SELECT 0::BIGINT, 0 UNION SELECT s.dst, min(l.depth) + 1 FROM l JOIN s ON l.id = s.src LEFT JOIN recurring.l AS r ON r.id = s.dst WHERE r.id IS NULL GROUP BY s.dst)"
 
 
-@_add("var_length_hops", f"{_LEVELS}, m AS (SELECT id, min(depth) AS depth FROM l GROUP BY 1) SELECT id AS user_id FROM m WHERE depth BETWEEN 2 AND 4")
+@_add("var_length_hops", f"{_LEVELS}, m AS (SELECT id, depth FROM l WHERE id <> 0 UNION ALL SELECT 0, min(l.depth) + 1 FROM l JOIN s ON l.id = s.src WHERE s.dst = 0) SELECT id AS user_id FROM m WHERE depth BETWEEN 2 AND 4")
 def var_length_hops(spark, sf):
     return cypher(_users(spark, sf), "MATCH (a:User {user_id: 0})-[:NEXT*2..4]->(b:User) RETURN b.user_id AS user_id")
 
 
-@_add("var_length_all_starts", f"WITH {NEXT} SELECT src AS a, count(DISTINCT dst) AS n FROM (SELECT src, dst FROM x UNION SELECT p.src, q.dst FROM x p JOIN x q ON p.dst = q.src WHERE p.src % 10 = 0) WHERE src % 10 = 0 GROUP BY 1")
+@_add("var_length_all_starts", f"WITH {NEXT} SELECT src AS a, count(DISTINCT dst) AS n FROM (SELECT src, dst FROM x UNION SELECT p.src, q.dst FROM x p JOIN x q ON p.dst = q.src) GROUP BY 1")
 def var_length_all_starts(spark, sf):
     return cypher(_users(spark, sf), "MATCH (a:User)-[:NEXT*1..2]->(b:User) RETURN a.user_id AS a, COUNT(b) AS n")
 
@@ -143,29 +144,38 @@ def var_length_in(spark, sf):
     return cypher(_users(spark, sf), "MATCH (a:User {user_id: 3})<-[:NEXT*1]-(b:User) RETURN b.user_id AS user_id")
 
 
-@_add("bfs_depths", f"{_LEVELS} SELECT 0 AS user_id, 0 AS depth UNION ALL SELECT id, min(depth) FROM l WHERE id <> 0 GROUP BY 1")
+@_add("bfs_depths", f"{_LEVELS} SELECT id AS user_id, depth FROM l")
 def bfs_depths(spark, sf):
     return _user(paths.bfs(_users(spark, sf).edges(), USER))
 
 
-@_add("undirected_bfs", f"WITH RECURSIVE {SPARSE}, u AS (SELECT src, dst FROM s UNION SELECT dst, src FROM s), l(id, depth) AS (SELECT 0, 0 UNION SELECT u.dst, l.depth + 1 FROM l JOIN u ON l.id = u.src WHERE l.depth < 3) SELECT id AS user_id, min(depth) AS depth FROM l GROUP BY 1")
+@_add("undirected_bfs", f"WITH RECURSIVE {EDGES}, u AS (SELECT src, dst FROM s UNION SELECT dst, src FROM s), l(id, depth) AS (SELECT 0, 0 UNION SELECT u.dst, l.depth + 1 FROM l JOIN u ON l.id = u.src WHERE l.depth < 3) SELECT id AS user_id, min(depth) AS depth FROM l GROUP BY 1")
 def undirected_bfs(spark, sf):
     return _user(paths.bfs(_users(spark, sf).edges(directed=False), USER, 3))
 
 
-@_add("shortest_path_counts", f"{_LEVELS.replace('UNION SELECT s.dst', 'UNION ALL SELECT s.dst').replace('DISTINCT ', '').replace('l.depth < 12', 'l.depth < 5')}, m AS (SELECT id, min(depth) AS depth FROM l WHERE id <> 0 GROUP BY 1) SELECT l.id AS user_id, l.depth, count(*) AS paths FROM l JOIN m ON l.id = m.id AND l.depth = m.depth GROUP BY 1, 2")
+@_add("shortest_path_counts", f"WITH RECURSIVE {NEXT}, s AS MATERIALIZED (SELECT src, dst, count(*) AS n FROM x GROUP BY 1, 2), l(id, depth, paths) USING KEY (id) AS (SELECT 0::BIGINT, 0, 1::HUGEINT UNION SELECT s.dst, min(l.depth) + 1, sum(l.paths * s.n)::HUGEINT FROM l JOIN s ON l.id = s.src LEFT JOIN recurring.l AS r ON r.id = s.dst WHERE r.id IS NULL GROUP BY s.dst) SELECT id AS user_id, depth, paths::BIGINT AS paths FROM l WHERE depth > 0")
 def shortest_path_counts(spark, sf):
     return _user(paths.shortest_tree(_users(spark, sf).edges(), USER).where("depth > 0"), "id", "depth", "paths")
 
 
-@_add("cheapest_costs", f"{_LEVELS} SELECT 0 AS user_id, 0.0::DOUBLE AS cost UNION ALL SELECT id, min(depth)::DOUBLE FROM l WHERE id <> 0 GROUP BY 1 HAVING min(depth) <= 30")
+@_add("cheapest_costs", f"{_LEVELS} SELECT id AS user_id, depth::DOUBLE AS cost FROM l")
 def cheapest_costs(spark, sf):
     return _user(paths.cheapest(_users(spark, sf).edges(), USER), "id", "cost")
 
 
-@_add("simple_paths", f"WITH RECURSIVE {SPARSE}, d AS (SELECT DISTINCT src, dst FROM s), p(last, path, n) AS (SELECT 0, [0::BIGINT], 0 UNION ALL SELECT d.dst, list_append(p.path, d.dst), p.n + 1 FROM p JOIN d ON p.last = d.src WHERE p.n < 4 AND NOT list_contains(p.path, d.dst)) SELECT array_to_string(path, '>') AS path FROM p WHERE n >= 2")
+@_add("weighted_costs", f"WITH RECURSIVE {NEXT}, s AS MATERIALIZED (SELECT DISTINCT src, dst, ((src * 7 + dst * 3) % 10 + 1)::DOUBLE AS w FROM x), l(id, cost) USING KEY (id) AS (SELECT 0::BIGINT, 0.0::DOUBLE UNION SELECT s.dst, min(l.cost + s.w) FROM l JOIN s ON l.id = s.src LEFT JOIN recurring.l AS r ON r.id = s.dst GROUP BY s.dst, r.cost HAVING r.cost IS NULL OR min(l.cost + s.w) < r.cost) SELECT id AS user_id, cost FROM l")
+def weighted_costs(spark, sf):
+    key = lambda c: F.col(c) - F.lit(USER)
+    weighted = _users(spark, sf).edges().withColumn("w", ((key("src") * 7 + key("dst") * 3) % 10 + 1).cast("double"))
+    return _user(paths.cheapest(weighted, USER, "w"), "id", "cost")
+
+
+@_add("simple_paths", f"WITH RECURSIVE {EDGES}, p(last, path, n) AS (SELECT 0::BIGINT, [0::BIGINT], 0 UNION ALL SELECT s.dst, list_append(p.path, s.dst), p.n + 1 FROM p JOIN s ON p.last = s.src WHERE p.n < 4 AND NOT list_contains(p.path, s.dst)) SELECT last AS user_id, n AS hops, count(*) AS paths, sum(path[2])::BIGINT AS first_hops FROM p WHERE n >= 2 GROUP BY 1, 2")
 def simple_paths(spark, sf):
-    return paths.simple_paths(_users(spark, sf).edges(), USER, None, 2, 4).select(F.array_join(F.transform("nodes", lambda x: (x - F.lit(USER)).cast("string")), ">").alias("path"))
+    found = paths.simple_paths(_users(spark, sf).edges(), USER, None, 2, 4)
+    found = found.select((F.element_at("nodes", -1) - F.lit(USER)).alias("user_id"), (F.size("nodes") - 1).alias("hops"), (F.element_at("nodes", 2) - F.lit(USER)).alias("hop"))
+    return found.groupBy("user_id", "hops").agg(F.count("hop").alias("paths"), F.sum("hop").alias("first_hops"))
 
 
 # Algorithms
@@ -197,7 +207,7 @@ def degree_centrality(spark, sf):
     return _user(algorithms.degree_centrality(*_both(_users(spark, sf)))).withColumn("centrality", F.round("centrality", 9))
 
 
-_CLOSURE = f"WITH RECURSIVE {SPARSE}, v AS (SELECT DISTINCT user_id AS id FROM events)"
+_CLOSURE = f"WITH RECURSIVE {EDGES}, v AS (SELECT DISTINCT user_id AS id FROM events)"
 
 
 @_add("components", f"{_CLOSURE}, u AS (SELECT src, dst FROM s UNION SELECT dst, src FROM s), c(a, b) AS (SELECT id, id FROM v UNION SELECT c.a, u.dst FROM c JOIN u ON c.b = u.src) SELECT a AS user_id, min(b) AS component FROM c GROUP BY 1")
@@ -215,7 +225,7 @@ def strong_component_sizes(spark, sf):
     return algorithms.component_sizes(algorithms.strong_components(*_both(_users(spark, sf))))
 
 
-def _lpa_sql(n: int = 4) -> str:
+def _lpa_sql(n: int = 10) -> str:
     ctes = [f"WITH {NEXT}, v AS (SELECT DISTINCT user_id AS id FROM events), u AS (SELECT src, dst, count(*) AS w FROM (SELECT src, dst FROM x WHERE src <> dst UNION ALL SELECT dst, src FROM x WHERE src <> dst) GROUP BY 1, 2), l0 AS MATERIALIZED (SELECT id, id AS c FROM v)"]
     for i in range(n):
         ctes.append(f"l{i + 1} AS MATERIALIZED (SELECT l{i}.id, coalesce(t.c, l{i}.c) AS c FROM l{i} LEFT JOIN (SELECT src, c FROM (SELECT src, c, row_number() OVER (PARTITION BY src ORDER BY w DESC, c) AS k FROM (SELECT src, l{i}.c AS c, sum(w) AS w FROM u JOIN l{i} ON u.dst = l{i}.id GROUP BY 1, 2)) WHERE k = 1) t ON t.src = l{i}.id)")
@@ -227,7 +237,7 @@ def label_propagation(spark, sf):
     return _user(algorithms.label_propagation(*_both(_users(spark, sf))))
 
 
-_TRI = f"WITH {SPARSE}, u AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM s WHERE src <> dst), t AS (SELECT p.a, p.b, q.b AS c FROM u p JOIN u q ON p.a = q.a AND p.b < q.b JOIN u r ON r.a = p.b AND r.b = q.b)"
+_TRI = f"WITH {EDGES}, u AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM s WHERE src <> dst), t AS (SELECT p.a, p.b, q.b AS c FROM u p JOIN u q ON p.a = q.a AND p.b < q.b JOIN u r ON r.a = p.b AND r.b = q.b)"
 
 
 @_add("triangles", f"{_TRI} SELECT a, b, c FROM t")
@@ -241,12 +251,16 @@ def clustering(spark, sf):
     return _user(algorithms.clustering(*_both(_users(spark, sf)))).withColumn("coefficient", F.round("coefficient", 9))
 
 
-@_add("k_core")
+#: Core numbers as the fixpoint of neighbours' estimates, from the degrees down; rounds end far beyond where the values stand still.
+_K_CORE = f"WITH RECURSIVE {NEXT}, v AS (SELECT DISTINCT user_id AS id FROM events), m AS MATERIALIZED (SELECT a, b, count(*) AS n FROM (SELECT src AS a, dst AS b FROM x UNION ALL SELECT dst, src FROM x) GROUP BY 1, 2), h(id, core, step) AS (SELECT v.id, coalesce(sum(m.n), 0)::BIGINT, 0 FROM v LEFT JOIN m ON m.a = v.id GROUP BY 1 UNION ALL SELECT a, max(least(core, upto))::BIGINT, any_value(step) + 1 FROM (SELECT m.a, h.core, h.step, sum(m.n) OVER (PARTITION BY m.a ORDER BY h.core DESC) AS upto FROM m JOIN h ON h.id = m.b) WHERE step < 60 GROUP BY a) SELECT id AS user_id, core FROM h WHERE step = (SELECT max(step) FROM h)"
+
+
+@_add("k_core", _K_CORE)
 def k_core(spark, sf):
     return _user(algorithms.k_core(*_both(_users(spark, sf))), "id", "core")
 
 
-@_add("betweenness")
+@_add("betweenness", f"WITH RECURSIVE {NEXT}, v AS (SELECT DISTINCT user_id AS id FROM events), s AS MATERIALIZED (SELECT DISTINCT src, dst FROM x WHERE src <> dst), t(a, id, depth, parent) USING KEY (a, id) AS (SELECT id, id, 0, NULL::BIGINT FROM v UNION SELECT t.a, s.dst, min(t.depth) + 1, min(s.src) FROM t JOIN s ON t.id = s.src LEFT JOIN recurring.t AS r ON r.a = t.a AND r.id = s.dst WHERE r.id IS NULL GROUP BY t.a, s.dst), tree AS MATERIALIZED (SELECT * FROM t), up(a, id) AS (SELECT a, parent FROM tree WHERE depth > 1 UNION ALL SELECT up.a, tree.parent FROM up JOIN tree ON tree.a = up.a AND tree.id = up.id WHERE tree.depth > 1) SELECT v.id AS user_id, round(count(up.id) / greatest(1, ((SELECT count(*) FROM v) - 1) * ((SELECT count(*) FROM v) - 2)), 9) AS centrality FROM v LEFT JOIN up ON up.id = v.id GROUP BY 1")
 def betweenness(spark, sf):
     return _user(algorithms.betweenness(*_both(_users(spark, sf)))).withColumn("centrality", F.round("centrality", 9))
 

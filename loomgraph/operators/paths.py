@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -92,16 +94,33 @@ def shortest_tree(edges: DataFrame, start: int, goal: int | None = None, max_dep
     return seen
 
 
+def _trace(tree: DataFrame, goal: int) -> tuple[list[int], object] | None:
+    """Nodes from the start to the goal by the tree's parents, and the goal's row; a filter on the written tree for 64 hops at most.
+
+    Each look at the tree brings the ancestors that a chain of joins finds, so a
+    path of n hops costs n / 64 jobs and n rows on the driver.
+    """
+    last = tree.where(F.col("id") == goal).first()
+    if last is None:
+        return None
+    path, at = [goal], last
+    own = tree.select("id", "parent")
+    while at.parent is not None:
+        chain = tree.sparkSession.createDataFrame([(at.parent,)], "n0 bigint")
+        hops = min(64, at.depth) if "depth" in tree.columns else 16
+        for k in range(hops):
+            chain = chain.join(own.select(F.col("id").alias(f"i{k}"), F.col("parent").alias(f"n{k + 1}")), F.col(f"n{k}") == F.col(f"i{k}"), "left").drop(f"i{k}")
+        for x in chain.first():
+            if x is not None:
+                path.append(x)
+        at = tree.where(F.col("id") == path[-1]).first()
+    return path[::-1], last
+
+
 def shortest_path(edges: DataFrame, start: int, goal: int) -> list[int] | None:
     """Nodes of the unweighted shortest path whose parents are smallest; None if there is none."""
-    tree = shortest_tree(edges, start, goal)
-    path, at = [goal], tree.where(F.col("id") == goal).first()
-    if at is None:
-        return None
-    while at.parent is not None:  # one row a hop
-        path.append(at.parent)
-        at = tree.where(F.col("id") == at.parent).first()
-    return path[::-1]
+    got = _trace(shortest_tree(edges, start, goal), goal)
+    return got and got[0]
 
 
 def has_path(edges: DataFrame, start: int, goal: int) -> bool:
@@ -126,29 +145,95 @@ def all_shortest(edges: DataFrame, start: int, goal: int) -> DataFrame:
     return paths.select("nodes")
 
 
-def simple_paths(edges: DataFrame, start: int, goal: int | None = None, low: int = 1, high: int = 3) -> DataFrame:
-    """(nodes array<bigint>) without repeated nodes and low..high hops, to the goal or to anywhere. Each sequence of nodes once."""
+def simple_paths(edges: DataFrame, start: int, goal: int | None = None, low: int = 1, high: int | None = 3) -> DataFrame:
+    """(nodes array<bigint>) without repeated nodes and low..high hops, to the goal or to anywhere. Each sequence of nodes once; none from a node to itself.
+
+    Without `high` paths go on until none can grow; their number can grow with
+    the factorial of the reachable nodes. Long searches write each level.
+    """
     edges = cut(edges.select("src", "dst").distinct())
-    spark = edges.sparkSession
-    paths, found = spark.createDataFrame([(start, [start])], "at bigint, nodes array<bigint>"), []
-    for depth in range(1, high + 1):
+    spark, far = edges.sparkSession, high is None or high > 4
+    paths, found, depth = spark.createDataFrame([(start, [start])], "at bigint, nodes array<bigint>"), [], 0
+    while high is None or depth < high:
+        depth += 1
         paths = paths.join(edges, F.col("at") == F.col("src")).where(~F.array_contains("nodes", F.col("dst"))).select(F.col("dst").alias("at"), F.concat("nodes", F.array("dst")).alias("nodes"))
+        if far:
+            paths = cut(paths)
+            if paths.isEmpty():
+                break
         if depth >= low:
             found.append(paths if goal is None else paths.where(F.col("at") == goal))
         if goal is not None:
             paths = paths.where(F.col("at") != goal)
-    out = spark.createDataFrame([], "nodes array<bigint>")
-    for f in found:
-        out = out.unionAll(f.select("nodes"))
-    return out
+    return union_all([f.select("nodes") for f in found], spark, "nodes array<bigint>")
+
+
+def union_all(frames: list[DataFrame], spark, schema: str) -> DataFrame:
+    return functools.reduce(DataFrame.unionAll, frames, spark.createDataFrame([], schema))
+
+
+@dataclass(frozen=True)
+class PathQuery:
+    """Builder of path queries over a graph: types, direction, depths; paths come as node ids or hydrated."""
+
+    graph: object
+    start: int
+    goal: int | None = None
+    types: tuple[str, ...] = ()
+    direction: str = "out"  # out, in, both
+    low: int = 1
+    high: int | None = 3
+
+    def to(self, goal: int) -> PathQuery:
+        return replace(self, goal=goal)
+
+    def via(self, *types: str) -> PathQuery:
+        return replace(self, types=types)
+
+    def along(self, direction: str) -> PathQuery:
+        if direction not in ("out", "in", "both"):
+            raise ValueError("a direction is out, in or both")
+        return replace(self, direction=direction)
+
+    def depths(self, low: int = 1, high: int | None = 3) -> PathQuery:
+        return replace(self, low=low, high=high)
+
+    def edges(self) -> DataFrame:
+        e = self.graph.edges(self.types, directed=self.direction != "both")
+        return e.select(F.col("dst").alias("src"), F.col("src").alias("dst")) if self.direction == "in" else e
+
+    def paths(self) -> DataFrame:
+        """(nodes): all simple paths within the depths."""
+        return simple_paths(self.edges(), self.start, self.goal, self.low, self.high)
+
+    def shortest(self) -> DataFrame:
+        """(nodes): every shortest path to the goal."""
+        return all_shortest(self.edges(), self.start, self._goal()).distinct()
+
+    def hydrated(self, paths: DataFrame | None = None) -> DataFrame:
+        """(nodes, rels) of the paths (all simple ones by default), walked in the builder's direction."""
+        return hydrate(self.graph, self.paths() if paths is None else paths, self.types, self.direction)
+
+    def _goal(self) -> int:
+        if self.goal is None:
+            raise ValueError("name the goal by to()")
+        return self.goal
+
+
+def path_between(graph, start: int, goal: int, types: tuple[str, ...] = ()) -> DataFrame:
+    """(nodes, rels) of one shortest path between the ends: that whose parents are smallest; no row if there is none."""
+    path = shortest_path(graph.edges(types), start, goal)
+    return hydrate(graph, graph.spark.createDataFrame([(path,)] if path else [], "nodes array<bigint>"), types)
 
 
-def hydrate(graph, paths: DataFrame) -> DataFrame:
-    """nodes and rels: for each pair of neighbours on a path the relationship with the smallest id."""
+def hydrate(graph, paths: DataFrame, types: tuple[str, ...] = (), direction: str = "out") -> DataFrame:
+    """nodes and rels: for each pair of neighbours on a path the relationship with the smallest id, of the types and along the direction."""
     numbered = paths.withColumn("p", F.monotonically_increasing_id())
     numbered = cut(numbered)
     steps = numbered.select("p", F.posexplode(F.arrays_zip(F.expr("slice(nodes, 1, size(nodes) - 1)").alias("a"), F.expr("slice(nodes, 2, size(nodes) - 1)").alias("b"))).alias("k", "s")).select("p", "k", F.col("s.a").alias("start"), F.col("s.b").alias("end"))
-    best = graph.rels().groupBy("start", "end").agg(F.min("id").alias("rel"))
+    rels = graph.rels(types).select("id", "start", "end")
+    back = rels.select("id", F.col("end").alias("start"), F.col("start").alias("end"))
+    best = {"out": rels, "in": back, "both": rels.unionAll(back)}[direction].groupBy("start", "end").agg(F.min("id").alias("rel"))
     rels = steps.join(best, ["start", "end"]).groupBy("p").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "rel"))), lambda x: x["rel"]).alias("rels"))
     return numbered.join(rels, "p", "left").select("nodes", F.coalesce("rels", F.array().cast("array<bigint>")).alias("rels"))
 
