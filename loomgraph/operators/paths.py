@@ -94,26 +94,19 @@ def shortest_tree(edges: DataFrame, start: int, goal: int | None = None, max_dep
     return seen
 
 
-def _trace(tree: DataFrame, goal: int) -> tuple[list[int], object] | None:
-    """Nodes from the start to the goal by the tree's parents, and the goal's row; a filter on the written tree for 64 hops at most.
-
-    Each look at the tree brings the ancestors that a chain of joins finds, so a
-    path of n hops costs n / 64 jobs and n rows on the driver.
-    """
+def _trace(tree: DataFrame, goal: int, hops: int = 8) -> tuple[list[int], object] | None:
+    """Nodes from the start to the goal by the tree's parents, and the goal's row; `hops` joins of one broadcast row a job."""
     last = tree.where(F.col("id") == goal).first()
     if last is None:
         return None
-    path, at = [goal], last
-    own = tree.select("id", "parent")
-    while at.parent is not None:
-        chain = tree.sparkSession.createDataFrame([(at.parent,)], "n0 bigint")
-        hops = min(64, at.depth) if "depth" in tree.columns else 16
+    path, parent, own = [goal], last.parent, tree.select(F.col("id").alias("i"), F.col("parent").alias("p"))
+    while parent is not None:
+        chain = tree.sparkSession.createDataFrame([(parent,)], "n0 bigint")
         for k in range(hops):
-            chain = chain.join(own.select(F.col("id").alias(f"i{k}"), F.col("parent").alias(f"n{k + 1}")), F.col(f"n{k}") == F.col(f"i{k}"), "left").drop(f"i{k}")
-        for x in chain.first():
-            if x is not None:
-                path.append(x)
-        at = tree.where(F.col("id") == path[-1]).first()
+            chain = own.withColumnRenamed("p", f"n{k + 1}").join(F.broadcast(chain), F.col("i") == F.col(f"n{k}"), "right").drop("i")
+        found = chain.select(*[f"n{k}" for k in range(hops + 1)]).first()
+        path += [x for x in found[:hops] if x is not None]
+        parent = found[hops]
     return path[::-1], last
 
 
@@ -264,15 +257,8 @@ def cheapest(edges: DataFrame, start: int, weight: str | None = None) -> DataFra
 
 def cheapest_path(edges: DataFrame, start: int, goal: int, weight: str | None = None) -> tuple[list[int], float] | None:
     """Nodes and cost of the cheapest path; None if there is none."""
-    tree = cheapest(edges, start, weight)
-    at = tree.where(F.col("id") == goal).first()
-    if at is None:
-        return None
-    path, cost = [goal], at.cost
-    while at.parent is not None:
-        path.append(at.parent)
-        at = tree.where(F.col("id") == at.parent).first()
-    return path[::-1], cost
+    got = _trace(cheapest(edges, start, weight), goal)
+    return got and (got[0], got[1].cost)
 
 
 def a_star(edges: DataFrame, start: int, goal: int, positions: DataFrame | None = None, distance: str | Callable[[Column, Column, Column, Column], Column] = "euclidean", directed: bool = False):

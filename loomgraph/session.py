@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import time
 from dataclasses import dataclass, field
 
@@ -192,11 +193,15 @@ class Session:
         return {"properties_set_on": n * len(c.body)}
 
     def _merge(self, compiler: Compiler, s: State, c: Clause) -> dict[str, int]:
-        """Match the pattern, else create what is missing.
-
-        With relationships: a start node that is missing is created; a start
-        without such a relationship and end gets both anew. A relationship
-        without a type has the type RELATED.
+        """Match the pattern, else create what is missing; bound variables of the clauses before stand for their rows' nodes.
+
+        A row of the match before whose pattern is there keeps it; for the other
+        rows everything that isn't bound is created. Without such a match the
+        pattern is looked for as a whole. Where it isn't there, a single node is
+        created; a pattern with relationships is created once, from the first
+        start node that matches (smallest id). A missing end of one relationship
+        is always created anew, ends of several reuse the first node that
+        matches. A relationship without a type has the type RELATED.
         """
         pattern: Pattern = c.body
         for r in pattern.rels:
@@ -212,23 +217,49 @@ class Session:
             for k, v in more.items():
                 counts[k] = counts.get(k, 0) + v
 
-        whole = Compiler(self.graph, self.nulls)._match(State(), [pattern], None)
-        if not whole.df.isEmpty():
-            if c.extra["MATCH"]:
-                add(self._set(compiler, whole, Clause("set", c.extra["MATCH"])))
-            return counts
-        start = Compiler(self.graph, self.nulls)._match(State(), [Pattern([pattern.nodes[0]], [])], None)
-        top = mutate.next_id(self.graph.nodes(False))
-        if pattern.rels and not start.df.isEmpty():
-            add(self._create(compiler, start, Clause("create", [pattern])))
+        bound = [n.var for n in pattern.nodes if n.var in s.env]
+        fresh = Compiler(self.graph, self.nulls)
+        if s.df is None:
+            whole = fresh._match(State(), [pattern], None)
+            whole.df = cut(whole.df)
+            there = not whole.df.isEmpty()
+            missing = None if there else self._beginnings(pattern)
         else:
-            add(self._create(compiler, State(), Clause("create", [pattern])))
+            keys = [f"{v}__id" for v in bound]
+            rows = State(cut(s.df), s.env)
+            whole = fresh._match(rows, [pattern], None)
+            whole.df = cut(whole.df)
+            there = not whole.df.isEmpty()
+            if keys:  # rows of equal bound nodes merge into one, as the first of them creates what the others find
+                lacking = rows.df.dropDuplicates(keys).join(whole.df.select(*[F.col(k).alias(f"__h_{k}") for k in keys]).distinct(), [F.col(k) == F.col(f"__h_{k}") for k in keys], "left_anti")
+                missing = State(lacking, s.env)
+            else:
+                missing = State(rows.df.limit(0 if there else 1), s.env)
+        if there and c.extra["MATCH"]:
+            add(self._set(compiler, whole, Clause("set", c.extra["MATCH"])))
+        if missing is None or missing.df is not None and missing.df.isEmpty():
+            return counts
+        top, rel_top = mutate.next_id(self.graph.nodes(False)), mutate.next_id(self.graph.rels())
+        add(self._create(compiler, missing, Clause("create", [pattern])))
         if c.extra["CREATE"]:
-            fresh = Compiler(self.graph, self.nulls)
-            made = fresh._match(State(), [pattern], None)
-            if not pattern.rels:
-                made.df = made.df.where(F.col(f"{pattern.nodes[0].var}__id") >= top)
-            add(self._set(fresh, made, Clause("set", c.extra["CREATE"])))
+            again = Compiler(self.graph, self.nulls)
+            made = again._match(State(), [pattern], None)
+            new = [F.col(f"{r.var}__id") >= rel_top for r in pattern.rels] or [F.col(f"{pattern.nodes[0].var}__id") >= top]
+            made.df = made.df.where(functools.reduce(lambda a, b: a & b, new))
+            add(self._set(again, made, Clause("set", c.extra["CREATE"])))
         return counts
 
-
+    def _beginnings(self, pattern: Pattern) -> State:
+        """What a pattern that isn't there starts from: one row of the first nodes that match it, or nothing."""
+        if not pattern.rels:
+            return State()
+        reuse = pattern.nodes if len(pattern.rels) > 1 else pattern.nodes[:1]
+        state = State()
+        for n in reuse:
+            if n.var in state.env:
+                continue
+            found = Compiler(self.graph, self.nulls)._match(State(), [Pattern([n], [])], None)
+            first = cut(found.df.orderBy(f"{n.var}__id").limit(1))
+            if not first.isEmpty():
+                state = State(first if state.df is None else state.df.crossJoin(first), state.env | found.env)  # a row each
+        return state
