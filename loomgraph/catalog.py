@@ -420,3 +420,6 @@ def circle_layout(spark, sf):
 def layer_layout(spark, sf):
     at = export.layers(from_star_schema(spark, sf, ("Nation", "Customer")))
     return at.select(F.concat(F.when(F.col("id") >= 2 * SHIFT, "c").otherwise("n"), F.col("id") % SHIFT).alias("node"), "layer")
+
+
+from . import catalog_api  # noqa: E402, F401 - registers its queries here

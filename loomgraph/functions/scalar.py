@@ -2,9 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Functions of columns that queries may call besides the built-in ones, by lower-case name.
+FUNCTIONS: dict[str, Callable[..., Column]] = {}
+
+
+def register(name: str, function: Callable[..., Column]) -> None:
+    """Let queries call function(*columns); a built-in expression, or a pandas UDF where none can say it."""
+    FUNCTIONS[name.lower()] = function
+
+
 
 def tokens(text: Column) -> Column:
     """Lower-case words between white space, letters and digits only, empty ones dropped."""

@@ -91,8 +91,22 @@ class PropertyGraph:
     def rel(self, rel_id: int) -> DataFrame:
         return self.rels(props=True).where(F.col("id") == rel_id)
 
+    def adjacent(self, node_id: int) -> DataFrame:
+        """(direction, rel, id): a row for each relationship of a node, at any degree."""
+        r = self.rels()
+        out = r.where(F.col("start") == node_id).select(F.lit("out").alias("direction"), F.col("id").alias("rel"), F.col("end").alias("id"))
+        return out.unionAll(r.where(F.col("end") == node_id).select(F.lit("in"), "id", "start"))
+
+    def cached(self) -> PropertyGraph:
+        """This version with its tables kept in Spark's cache from their first use on; release() gives them back."""
+        return self.with_tables([replace(t, df=t.df.cache()) for t in self.node_tables], [replace(t, df=t.df.cache()) for t in self.rel_tables])
+
+    def release(self) -> None:
+        for t in (*self.node_tables, *self.rel_tables):
+            t.df.unpersist()
+
     def neighbors(self, node_id: int) -> DataFrame:
-        """One row: outgoing and incoming neighbour ids, sorted."""
+        """One row: outgoing and incoming neighbour ids, sorted; adjacent() gives a hub's as rows."""
         out = self.rels().where(F.col("start") == node_id).agg(F.array_sort(F.collect_list("end")).alias("outgoing"))
         into = self.rels().where(F.col("end") == node_id).agg(F.array_sort(F.collect_list("start")).alias("incoming"))
         return out.withColumn("k", F.lit(1)).join(into.withColumn("k", F.lit(1)), "k").drop("k")

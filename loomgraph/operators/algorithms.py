@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
@@ -112,21 +112,34 @@ def mean_clustering(vertices: DataFrame, edges: DataFrame) -> float:
 
 
 def k_core(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, core): degree is in plus out with multiplicity, a loop counts twice; nodes are peeled by whole levels."""
+    """(id, core): degree is in plus out with multiplicity, a loop counts twice.
+
+    Every node starts with its degree and lowers its estimate to the largest h
+    for which so many of its edges lead to estimates of h or more. Rounds end
+    when nothing changes: far fewer than levels, or links of a chain. A node's
+    neighbours are counted by estimate before they are looked at, so a hub has
+    a row for each estimate, not for each edge.
+    """
     both = cut(edges.select("src", "dst").unionAll(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).groupBy("src", "dst").agg(F.count("dst").alias("n")))
-    left, k, done = both.groupBy("src").agg(F.sum("n").alias("d")).select(F.col("src").alias("id"), "d"), 0, None
-    left = cut(left)
-    lone = ids(vertices).join(left, "id", "left_anti").select("id", F.lit(0).alias("core"))
-    done = lone
-    while (low := left.agg(F.min("d")).first()[0]) is not None:
-        k = max(k, low)
-        gone = left.where(F.col("d") <= k).select("id")
-        done = done.unionAll(gone.select("id", F.lit(k).alias("core")))
-        stay = left.where(F.col("d") > k)
-        lost = both.join(gone.withColumnRenamed("id", "dst"), "dst", "left_semi").groupBy("src").agg(F.sum("n").alias("lost"))
-        left = cut(stay.join(lost, stay["id"] == lost["src"], "left").select("id", (F.col("d") - F.coalesce("lost", F.lit(0))).alias("d")))
-        done = cut(done)
-    return done.select("id", F.col("core").cast("bigint").alias("core"))
+    core = cut(ids(vertices).join(both.groupBy(F.col("src").alias("v")).agg(F.sum("n").alias("d")), F.col("id") == F.col("v"), "left").select("id", F.coalesce("d", F.lit(0)).alias("core")))
+    down = Window.partitionBy("src").orderBy(F.desc("core"))
+    while True:
+        counted = both.join(core, F.col("dst") == F.col("id")).groupBy("src", "core").agg(F.sum("n").alias("n"))
+        upto = counted.withColumn("upto", F.sum("n").over(down)).groupBy("src").agg(F.max(F.least("core", "upto")).alias("h"))
+        new = cut(core.join(upto, F.col("id") == F.col("src"), "left").select("id", F.least("core", F.coalesce("h", F.lit(0))).alias("core"), (F.coalesce("h", F.lit(0)) < F.col("core")).alias("less")))
+        core, still = new.select("id", "core"), new.where("less").isEmpty()
+        if still:
+            return core
+
+
+def k_core_nodes(vertices: DataFrame, edges: DataFrame, k: int) -> DataFrame:
+    """(id) of the nodes whose core number is k or more."""
+    return k_core(vertices, edges).where(F.col("core") >= k).select("id")
+
+
+def max_core(vertices: DataFrame, edges: DataFrame) -> int:
+    """The largest core number; 0 without nodes."""
+    return k_core(vertices, edges).agg(F.coalesce(F.max("core"), F.lit(0))).first()[0]
 
 
 def strong_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
@@ -183,18 +196,20 @@ def is_strongly_connected(vertices: DataFrame, edges: DataFrame) -> bool:
     return strong_components(vertices, edges).select("component").distinct().count() <= 1
 
 
-def betweenness(vertices: DataFrame, edges: DataFrame, exact: bool = False) -> DataFrame:
+def betweenness(vertices: DataFrame, edges: DataFrame, exact: bool = False, sources: DataFrame | None = None) -> DataFrame:
     """(id, centrality) over all ordered pairs, divided by (n-1)(n-2).
 
     For each pair one shortest path counts, the one whose parents are smallest;
     exact shares the pair among all its shortest paths. All sources advance
     together: the state is (source, id) pairs, so this is for graphs whose
-    square fits the cluster.
+    square fits the cluster. With `sources` (id) only pairs that start there
+    count, scaled up to all: an estimate whose state is sources times nodes.
     """
     v = cut(ids(vertices))
+    begin = v if sources is None else cut(v.join(sources.select("id").distinct(), "id", "left_semi"))
     n = v.count()
     e = cut(edges.where("src <> dst").select("src", "dst").distinct())
-    level = cut(v.select(F.col("id").alias("s"), "id", F.lit(0).alias("depth"), F.lit(None).cast("bigint").alias("parent"), F.lit(1.0).alias("sigma")))
+    level = cut(begin.select(F.col("id").alias("s"), "id", F.lit(0).alias("depth"), F.lit(None).cast("bigint").alias("parent"), F.lit(1.0).alias("sigma")))
     seen, depth = level, 0
     while True:
         depth += 1
@@ -218,4 +233,5 @@ def betweenness(vertices: DataFrame, edges: DataFrame, exact: bool = False) -> D
         scores = cut(scores)
     out = v.withColumn("c", F.lit(0.0)) if scores is None else v.withColumn("c", F.lit(0.0)).unionAll(scores.groupBy("id").agg(F.sum("delta").alias("c")))
     by = float((n - 1) * (n - 2)) if n > 2 else 1.0
+    by *= 1.0 if sources is None else max(1, begin.count()) / n
     return out.groupBy("id").agg((F.sum("c") / F.lit(by)).alias("centrality"))

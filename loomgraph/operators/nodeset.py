@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import percentile_disc_floor
 from ..graph import PropertyGraph
+from ..plans.cypher import cypher
 from .paths import hops
 
 
@@ -114,3 +115,57 @@ class NodeSet:
 
     def variance(self, key: str) -> float | None:
         return self.df.agg(F.when(F.count(f"`{key}`") >= 2, F.var_samp(f"`{key}`"))).first()[0]
+
+
+def simple_query(graph: PropertyGraph, label: str, prop: str | None = None, value=None, out: str | None = None, into: str | None = None) -> NodeSet:
+    """Nodes of a label with a property's value, then a hop out and a hop in, each if given."""
+    s = NodeSet.label(graph, label)
+    if prop is not None:
+        s = s.int_eq(prop, value) if isinstance(value, int) and not isinstance(value, bool) else s.prop_eq(prop, value)
+    s = s.out(out) if out else s
+    return s.in_(into) if into else s
+
+
+@dataclass(frozen=True)
+class QueryBuilder:
+    """A reading query put together from the texts of its clauses; run() compiles them as one Cypher text."""
+
+    graph: PropertyGraph
+    patterns: tuple[str, ...] = ()
+    conditions: tuple[str, ...] = ()
+    items: tuple[str, ...] = ()
+    orders: tuple[str, ...] = ()
+    first: int | None = None
+    most: int | None = None
+    once: bool = False
+
+    def match(self, pattern: str) -> QueryBuilder:
+        return replace(self, patterns=(*self.patterns, pattern))
+
+    def where(self, condition: str) -> QueryBuilder:
+        return replace(self, conditions=(*self.conditions, condition))
+
+    def returns(self, *items: str, distinct: bool = False) -> QueryBuilder:
+        return replace(self, items=(*self.items, *items), once=distinct)
+
+    def order_by(self, *orders: str) -> QueryBuilder:
+        return replace(self, orders=(*self.orders, *orders))
+
+    def skip(self, n: int) -> QueryBuilder:
+        return replace(self, first=n)
+
+    def limit(self, n: int) -> QueryBuilder:
+        return replace(self, most=n)
+
+    def text(self) -> str:
+        if not self.patterns or not self.items:
+            raise ValueError("a query needs a pattern and something to return")
+        parts = ["MATCH " + ", ".join(self.patterns)]
+        parts += ["WHERE " + " AND ".join(f"({c})" for c in self.conditions)] * bool(self.conditions)
+        parts.append("RETURN " + "DISTINCT " * self.once + ", ".join(self.items))
+        parts += ["ORDER BY " + ", ".join(self.orders)] * bool(self.orders)
+        parts += [f"SKIP {self.first}"] * (self.first is not None) + [f"LIMIT {self.most}"] * (self.most is not None)
+        return " ".join(parts)
+
+    def run(self, null_semantics: str = "sql") -> DataFrame:
+        return cypher(self.graph, self.text(), null_semantics)

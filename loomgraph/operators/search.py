@@ -13,8 +13,12 @@ from ..functions.scalar import tokens
 
 def full_text(df: DataFrame, column: str, query: str, every: bool = False) -> DataFrame:
     """Rows whose text holds any word of the query, or every one; none for a query without words."""
-    own, wanted = tokens(F.col(f"`{column}`")), tokens(F.lit(query))
-    return df.where((F.size(F.array_except(wanted, own)) == 0) & (F.size(wanted) > 0) if every else F.arrays_overlap(own, wanted))
+    wanted = df.sparkSession.range(1).select(F.array_distinct(tokens(F.lit(query))).alias("w")).first().w
+    if not wanted:
+        return df.where(F.lit(False))
+    text, own = F.col(f"`{column}`"), tokens(F.col(f"`{column}`"))
+    words = F.array(*[F.lit(w) for w in wanted])
+    return df.where(text.isNotNull() & ((F.size(F.array_except(words, own)) == 0) if every else F.arrays_overlap(own, words)))
 
 
 def inverted(df: DataFrame, column: str, id_col: str = "id") -> DataFrame:
@@ -22,6 +26,20 @@ def inverted(df: DataFrame, column: str, id_col: str = "id") -> DataFrame:
     return df.select(F.explode(F.array_distinct(tokens(F.col(f"`{column}`")))).alias("term"), F.col(id_col).alias("id"))
 
 
+def search_inverted(index: DataFrame, query: str, every: bool = False) -> DataFrame:
+    """(id) of an inverted table's documents with any word of the query, or every one; only the words' own rows are read and moved."""
+    spark = index.sparkSession
+    words = spark.range(1).select(F.array_distinct(tokens(F.lit(query))).alias("w")).first().w
+    hits = index.where(F.col("term").isin(words) if words else F.lit(False)).groupBy("id").agg(F.count("term").alias("n"))
+    return (hits.where(F.col("n") == len(words)) if every else hits).select("id")
+
+
+def remove_documents(index: DataFrame, ids: DataFrame) -> DataFrame:
+    """An inverted table without the documents (first column: id)."""
+    gone = ids.select(F.col(ids.columns[0]).alias("__gone")).distinct()
+    return index.join(gone, F.col("id") == F.col("__gone"), "left_anti")
+
+
 def term_stats(index: DataFrame) -> DataFrame:
     """One row: terms and documents of an inverted table."""
     return index.agg(F.count_distinct("term").alias("terms"), F.count_distinct("id").alias("docs"))

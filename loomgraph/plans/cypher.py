@@ -14,9 +14,10 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import percentile_disc_floor
+from ..functions.scalar import FUNCTIONS, percentile_disc_floor
 from ..graph import PropertyGraph, union
 from ..operators.paths import hops
+from .lineage import cut
 from .parser import AGGREGATES, CypherError, Expr, Item, Node, Pattern, Projection, Query, Rel, parse
 
 _SCALARS = {
@@ -48,9 +49,13 @@ class Compiler:
         if q.union:
             other = self.query(q.union[0])
             if len(other.columns) != len(df.columns):
-                raise CypherError("both branches of a union need the same number of columns")
-            df = df.union(other)
-            return df if q.union[1] else df.distinct()
+                raise CypherError("both branches of a set operation need the same number of columns")
+            kind, every = q.union[1:]
+            if kind == "UNION":
+                return df.union(other) if every else df.union(other).distinct()
+            if kind == "INTERSECT":
+                return df.intersectAll(other) if every else df.intersect(other)
+            return df.exceptAll(other) if every else df.subtract(other)
         return df
 
     def _single(self, q: Query) -> DataFrame:
@@ -92,13 +97,19 @@ class Compiler:
             keys = [f"{v}__id" for v in shared]
             outer = self._names(where) & set(s.env) if where else set()
             if outer <= set(shared):  # the match depends on the shared variables only
-                got = self._match(State(s.df.select(*[x for x in s.df.columns if x.partition("__")[0] in shared]).distinct(), {v: s.env[v] for v in shared}) if shared else State(), patterns, where)
+                kept = [x for x in s.df.columns if x.partition("__")[0] in shared]
+                ids = [k for v in shared for k in ([f"{v}__id", f"{v}__typ"] if s.env[v].kind == "rel" else [f"{v}__id"])]
+                got = self._match(State(s.df.select(*kept).dropDuplicates(ids), {v: s.env[v] for v in shared}) if shared else State(), patterns, where)
                 new = [x for x in got.df.columns if x.partition("__")[0] not in shared]
                 right = got.df.select(*[F.col(k).alias(f"__k_{k}") for k in keys], *new)
                 on = [s.df[k].eqNullSafe(right[f"__k_{k}"]) for k in keys] or [F.lit(True)]
                 df = s.df.join(right, on, "left").drop(*[f"__k_{k}" for k in keys])
                 return State(df, s.env | got.env)
-            raise CypherError("WHERE of OPTIONAL MATCH may name variables of its pattern only")
+            # WHERE looks at other variables of a row too, so rows are numbered, written, and met again by their number.
+            rows = cut(s.df.withColumn("__outer", F.monotonically_increasing_id()))
+            got = self._match(State(rows, s.env), patterns, where)
+            right = got.df.select(F.col("__outer").alias("__of"), *[x for x in got.df.columns if x not in rows.columns])
+            return State(rows.join(right, F.col("__outer") == F.col("__of"), "left").drop("__outer", "__of"), s.env | got.env)
         return self._match(s, patterns, where)
 
     def _names(self, e: Expr) -> set[str]:
@@ -276,8 +287,8 @@ class Compiler:
             return F.col(f"{args[0].args[0]}__labels")
         if base == "type":
             return F.col(f"{args[0].args[0]}__typ")
-        if base in _SCALARS:
-            return _SCALARS[base](*[self.expr(x, s) for x in args])
+        if base in _SCALARS or base in FUNCTIONS:
+            return (FUNCTIONS.get(base) or _SCALARS[base])(*[self.expr(x, s) for x in args])
         if base not in AGGREGATES:
             raise CypherError(f"unknown function {base}")
         if base == "count":
@@ -338,7 +349,8 @@ class Compiler:
         if grouped:
             keys = [(f"__g{k}", self.expr(e, s), e) for k, e in enumerate(p.group or [x for _, _, x in out if not self.aggregates(x)])]
             if p.group:
-                wanted = [(n, c if self.aggregates(x) else F.first(c), x) for n, c, x in out]
+                ids = [F.col(f"`{v}__id`") for v, b in s.env.items() if b.kind == "node"] or [F.lit(0)]  # an item outside the groups has the value at the smallest ids
+                wanted = [(n, c if self.aggregates(x) else F.min_by(c, F.struct(*ids)), x) for n, c, x in out]
             else:
                 wanted = [(n, c, x) for n, c, x in out if self.aggregates(x)]
             aggs = [c.alias(n) for n, c, x in wanted if not any(x == k for _, _, k in keys)] + [c.alias(n) for n, c in hidden]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import threading
 import time
 from dataclasses import dataclass, field
 
@@ -25,65 +26,151 @@ class Result:
     counts: dict[str, int] = field(default_factory=dict)
 
 
+class Store:
+    """The version of a graph that several sessions share. A commit is one compare and set under a lock."""
+
+    def __init__(self, graph: PropertyGraph) -> None:
+        self.graph, self.version, self.lock = graph, 0, threading.Lock()
+
+    def publish(self, graph: PropertyGraph, seen: int) -> bool:
+        """Make graph the current version if `seen` still is; whether it did."""
+        with self.lock:
+            if self.version != seen:
+                return False
+            self.graph, self.version = graph, seen + 1
+            return True
+
+
+#: Of a transaction in a shared store. At the first level statements read what others have committed meanwhile, and a
+#: commit behind others runs its own changes again on their version; at the others a transaction reads one version,
+#: and such a commit is an error: always for `serializable`, only of changes for `repeatable_read`.
+ISOLATION = ("read_committed", "repeatable_read", "serializable")
+
+
 @dataclass
 class Transaction:
+    """ops are the texts of its changes, in order; seen is the store's version that it last read."""
+
     id: int
     graph: PropertyGraph
     began: float
-    savepoints: list[tuple[str, PropertyGraph]] = field(default_factory=list)
+    savepoints: list[tuple[str, PropertyGraph, int]] = field(default_factory=list)
     state: str = "active"
+    isolation: str = "read_committed"
+    ops: list[str] = field(default_factory=list)
+    seen: int = 0
 
 
 class Session:
-    """Versions are immutable, so rolling back is dropping one; a transaction older than `timeout` seconds can't commit."""
+    """Versions are immutable, so rolling back is dropping one; a transaction older than `timeout` seconds can't commit.
 
-    def __init__(self, graph: PropertyGraph, null_semantics: str = "sql", timeout: float = 30.0, constraints: Constraints | None = None) -> None:
-        self.graph, self.nulls, self.timeout, self.constraints = graph, null_semantics, timeout, constraints
+    Sessions on one Store see each other's commits by the levels of ISOLATION.
+    """
+
+    def __init__(self, graph: PropertyGraph | Store, null_semantics: str = "sql", timeout: float = 30.0, constraints: Constraints | None = None) -> None:
+        self.store = graph if isinstance(graph, Store) else Store(graph)
+        self.graph, self.seen = self.store.graph, self.store.version
+        self.nulls, self.timeout, self.constraints = null_semantics, timeout, constraints
         self.transactions: list[Transaction] = []
 
     # Transactions
 
-    def active(self) -> Transaction:
-        for t in reversed(self.transactions):
-            if t.state == "active":
-                return t
-        raise CypherError("no transaction is active")
+    def _open(self) -> Transaction | None:
+        return next((t for t in reversed(self.transactions) if t.state == "active"), None)
 
-    def begin(self) -> int:
-        self.transactions.append(Transaction(len(self.transactions), self.graph, time.monotonic()))
+    def active(self) -> Transaction:
+        t = self._open()
+        if t is None:
+            raise CypherError("no transaction is active")
+        return t
+
+    def begin(self, isolation: str = "read_committed") -> int:
+        if isolation not in ISOLATION:
+            raise CypherError(f"isolation is one of {', '.join(ISOLATION)}")
+        self._refresh()
+        self.transactions.append(Transaction(self.transactions[-1].id + 1 if self.transactions else 0, self.graph, time.monotonic(), isolation=isolation, seen=self.seen))
         return self.transactions[-1].id
 
+    def _refresh(self) -> None:
+        """Read the store's version, as far as the level and own changes allow."""
+        t = self._open()
+        if t is None or t.isolation == "read_committed" and not t.ops:
+            with self.store.lock:
+                self.graph, self.seen = self.store.graph, self.store.version
+
     def commit(self) -> None:
         t = self.active()
         if time.monotonic() - t.began > self.timeout:
             t.state, self.graph = "expired", t.graph
             raise CypherError("the transaction has expired and was rolled back")
+        outer = next((x for x in reversed(self.transactions) if x.state == "active" and x is not t), None)
+        if outer is not None:  # its changes are the outer one's from now on
+            t.state = "committed"
+            outer.ops += t.ops
+            return
+        if t.ops and not self.store.publish(self.graph, self.seen):
+            if t.isolation != "read_committed":
+                t.state = "rolled back"
+                self._refresh()
+                raise CypherError("another transaction has committed since; this one was rolled back")
+            self._again(t.ops)
+        elif t.isolation == "serializable" and not t.ops and self.store.version != self.seen:
+            t.state = "rolled back"
+            self._refresh()
+            raise CypherError("another transaction has committed since; this one was rolled back")
         t.state = "committed"
+        if t.ops:
+            self.seen = self.store.version
+
+    def _again(self, ops: list[str]) -> None:
+        """Run changes on the store's newest version until no other commit comes between."""
+        while True:
+            with self.store.lock:
+                self.graph, self.seen = self.store.graph, self.store.version
+            for text in ops:
+                self._checked(parse(text))
+            if self.store.publish(self.graph, self.seen):
+                return
 
     def rollback(self) -> None:
         t = self.active()
         t.state, self.graph = "rolled back", t.graph
+        self._refresh()
 
     def savepoint(self, name: str) -> None:
         t = self.active()
-        if any(n == name for n, _ in t.savepoints):
+        if any(n == name for n, *_ in t.savepoints):
             raise CypherError(f"savepoint {name} exists")
-        t.savepoints.append((name, self.graph))
+        t.savepoints.append((name, self.graph, len(t.ops)))
 
     def rollback_to(self, name: str) -> None:
-        """Back to a savepoint; later ones go, itself stays."""
+        """Back to a savepoint; later ones and later changes go, itself stays."""
         t = self.active()
         at = self._at(t, name)
-        self.graph = t.savepoints[at][1]
-        del t.savepoints[at + 1 :]
+        _, self.graph, n = t.savepoints[at]
+        del t.savepoints[at + 1 :], t.ops[n:]
 
     def release(self, name: str) -> None:
         t = self.active()
         del t.savepoints[self._at(t, name)]
 
+    def expire(self) -> int:
+        """Roll back what is older than the timeout; how many that were."""
+        late = [t for t in self.transactions if t.state == "active" and time.monotonic() - t.began > self.timeout]
+        for t in late:
+            t.state, self.graph = "expired", t.graph
+        return len(late)
+
+    def cleanup(self, keep_last: int = 0) -> int:
+        """Forget ended transactions but the last ones; how many went."""
+        ended = [t for t in self.transactions if t.state != "active"]
+        gone = ended[: max(0, len(ended) - keep_last)]
+        self.transactions = [t for t in self.transactions if t not in gone]
+        return len(gone)
+
     @staticmethod
     def _at(t: Transaction, name: str) -> int:
-        for k, (n, _) in enumerate(t.savepoints):
+        for k, (n, *_) in enumerate(t.savepoints):
             if n == name:
                 return k
         raise CypherError(f"no savepoint {name}")
@@ -96,8 +183,21 @@ class Session:
         if kinds[0] in ("begin", "commit", "rollback"):
             getattr(self, kinds[0])()
             return Result()
+        self._refresh()
         if not {"create", "merge", "set", "delete", "foreach"} & set(kinds):
             return Result(Compiler(self.graph, self.nulls).query(q))
+        before, t = self.graph, self._open()
+        result = self._checked(q)
+        if t is not None:
+            t.ops.append(text)
+        elif not self.store.publish(self.graph, self.seen):
+            self.graph = before
+            self._again([text])
+        else:
+            self.seen = self.store.version
+        return result
+
+    def _checked(self, q: Query) -> Result:
         before = self.graph
         try:
             result = self._change(q)

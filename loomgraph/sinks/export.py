@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import json
 import math
-import random
-from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,16 +27,31 @@ def view(graph: PropertyGraph, ids: DataFrame | None = None) -> tuple[DataFrame,
     return nodes, rels.select("id", F.col("start").alias("source"), F.col("end").alias("target"), F.col("typ").alias("type"))
 
 
-def json_elements(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(kind, id, element): one JSON text per node and edge."""
-    n = nodes.select(F.lit("node").alias("kind"), "id", F.to_json(F.struct(F.struct(F.col("id").cast("string").alias("id"), F.element_at("labels", 1).alias("label"), "name", "props").alias("data"))).alias("element"))
+#: Rows that one document for a viewer may hold; it is a text on the driver.
+MOST = 1_000_000
+STYLE = ("x", "y", "color", "size")
+
+
+def _bounded(df: DataFrame, most: int) -> list:
+    got = df.limit(most + 1).collect()
+    if len(got) > most:
+        raise ValueError(f"more than {most} elements; write the rows instead")
+    return got
+
+
+def json_elements(nodes: DataFrame, edges: DataFrame, style: DataFrame | None = None) -> DataFrame:
+    """(kind, id, element): one JSON text per node and edge; style has an id and any of x, y, color, size, which become _x, _y, _color, _size."""
+    looks = [c for c in STYLE if style is not None and c in style.columns]
+    if looks:
+        nodes = nodes.join(style.select(F.col("id").alias("__sid"), *[F.col(c).alias(f"_{c}") for c in looks]), F.col("id") == F.col("__sid"), "left").drop("__sid")
+    n = nodes.select(F.lit("node").alias("kind"), "id", F.to_json(F.struct(F.struct(F.col("id").cast("string").alias("id"), F.element_at("labels", 1).alias("label"), "name", "props", *[f"_{c}" for c in looks]).alias("data"))).alias("element"))
     e = edges.select(F.lit("edge").alias("kind"), "id", F.to_json(F.struct(F.struct(F.concat(F.lit("e"), "id").alias("id"), F.col("source").cast("string").alias("source"), F.col("target").cast("string").alias("target"), F.col("type").alias("label")).alias("data"))).alias("element"))
     return n.unionAll(e)
 
 
-def to_json(nodes: DataFrame, edges: DataFrame) -> str:
-    """One document {nodes, edges} for a viewer; for graphs that a driver can hold, else write json_elements()."""
-    got = json_elements(nodes, edges).orderBy("kind", "id").collect()
+def to_json(nodes: DataFrame, edges: DataFrame, style: DataFrame | None = None, most: int = MOST) -> str:
+    """One document {nodes, edges} for a viewer; more than `most` elements are an error, write json_elements() then."""
+    got = _bounded(json_elements(nodes, edges, style).orderBy("kind", "id"), most)
     return json.dumps({f"{kind}s": [json.loads(r.element) for r in got if r.kind == kind] for kind in ("node", "edge")}, ensure_ascii=False)
 
 
@@ -49,8 +62,19 @@ def dot_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return n.unionAll(e)
 
 
-def to_dot(nodes: DataFrame, edges: DataFrame, name: str = "G") -> str:
-    return "\n".join([f"digraph {name} {{", *[r.line for r in dot_lines(nodes, edges).orderBy("kind", "id", "line").collect()], "}"])
+def to_dot(nodes: DataFrame, edges: DataFrame, name: str = "G", most: int = MOST) -> str:
+    """One document for a viewer; more than `most` lines are an error, write dot_lines() then."""
+    return "\n".join([f"digraph {name} {{", *[r.line for r in _bounded(dot_lines(nodes, edges).orderBy("kind", "id", "line"), most)], "}"])
+
+
+def write_json(df: DataFrame, folder: str) -> None:
+    """A JSON object a line, missing values left out."""
+    df.write.mode("overwrite").json(folder)
+
+
+def read_csv(spark, folder: str, schema: str) -> DataFrame:
+    """What write_csv() has written."""
+    return spark.read.schema(schema).option("escape", '"').option("multiLine", True).csv(folder, header=True)
 
 
 def write_csv(df: DataFrame, folder: str) -> None:
@@ -88,30 +112,39 @@ def hierarchical(graph: PropertyGraph, spacing: float = 100.0) -> DataFrame:
     return layers(graph).select("id", (k * spacing).alias("x"), (F.col("layer") * spacing).alias("y"))
 
 
-def force_directed(ids: Sequence[int], edges: Sequence[tuple[int, int]], iterations: int = 50, width: float = 1000.0, height: float = 1000.0, seed: int = 0) -> dict[int, tuple[float, float]]:
-    """Positions by repulsion (1 / distance^2), springs and damping 0.9, kept inside the frame; for graphs a viewer can show."""
-    rng = random.Random(seed)
-    at = {i: [rng.uniform(0, width), rng.uniform(0, height)] for i in sorted(ids)}
-    speed = {i: [0.0, 0.0] for i in at}
-    for _ in range(iterations):
-        force = {i: [0.0, 0.0] for i in at}
-        for a in at:
-            for b in at:
-                if a < b:
-                    dx, dy = at[a][0] - at[b][0], at[a][1] - at[b][1]
-                    d = max(1.0, math.hypot(dx, dy))
-                    f = 10_000.0 / d**2
-                    for x, s in ((a, 1), (b, -1)):
-                        force[x][0] += s * f * dx / d
-                        force[x][1] += s * f * dy / d
-        for a, b in edges:
-            if a in at and b in at and a != b:
-                dx, dy = at[b][0] - at[a][0], at[b][1] - at[a][1]
-                for x, s in ((a, 0.01), (b, -0.01)):
-                    force[x][0] += s * dx
-                    force[x][1] += s * dy
-        for i, p in at.items():
-            for k, most in ((0, width), (1, height)):
-                speed[i][k] = (speed[i][k] + force[i][k]) * 0.9
-                p[k] = min(most, max(0.0, p[k] + speed[i][k]))
-    return {i: (x, y) for i, (x, y) in at.items()}
+def force_directed(graph: PropertyGraph, iterations: int = 50, width: float = 1000.0, height: float = 1000.0, seed: int = 0, most: int = 5000) -> DataFrame:
+    """(id, x, y) by repulsion (1 / distance^2), springs and damping 0.9, kept inside the frame.
+
+    Every node repels every other, so it is for graphs a viewer can show: one
+    task takes the whole of it, and more than `most` nodes are an error.
+    """
+    ids = graph.nodes(False).select("id")
+    n = ids.count()
+    if n > most:
+        raise ValueError(f"a force-directed layout of more than {most} nodes")
+    rows = ids.select("id", F.lit(None).cast("bigint").alias("to")).unionAll(graph.edges().where("src <> dst").select(F.col("src").alias("id"), F.col("dst").alias("to")))
+
+    def placed(pdf):
+        import numpy as np
+        import pandas as pd
+
+        ids = np.sort(pdf.id[pdf.to.isna()].to_numpy(np.int64))
+        e = pdf[pdf.to.notna()].astype("int64").sort_values(["id", "to"])
+        e = e[e.id.isin(ids) & e.to.isin(ids)]
+        a, b = np.searchsorted(ids, e.id), np.searchsorted(ids, e.to)
+        frame = np.array([width, height])
+        at, speed = np.random.default_rng(seed).uniform(0, frame, (len(ids), 2)), np.zeros((len(ids), 2))
+        for _ in range(iterations):
+            force = np.zeros_like(at)
+            for k in range(0, len(at), 256):
+                apart = at[k : k + 256, None] - at[None]
+                d = np.maximum(1.0, np.hypot(apart[..., 0], apart[..., 1]))
+                force[k : k + 256] = (10_000.0 * apart / d[..., None] ** 3).sum(1)
+            pull = (at[b] - at[a]) * 0.01
+            np.add.at(force, a, pull)
+            np.add.at(force, b, -pull)
+            speed = (speed + force) * 0.9
+            at = np.clip(at + speed, 0, frame)
+        return pd.DataFrame({"id": ids, "x": at[:, 0], "y": at[:, 1]})
+
+    return rows.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(placed, "id bigint, x double, y double")

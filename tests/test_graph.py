@@ -350,5 +350,9 @@ def test_export(users):
     assert len(doc["nodes"]) == 2 and len(doc["edges"]) == 3
     assert {r.id: r.layer for r in export.layers(users).collect()} == {0: 0, 1: 0, 2: 0, 3: 0, 4: 0, 5: 0}
     assert export.circle(users.nodes()).count() == 6 and export.hierarchical(users).count() == 6
-    at = export.force_directed([1, 2, 3], [(1, 2)])
-    assert at == export.force_directed([1, 2, 3], [(1, 2)]) and all(0 <= x <= 1000 for p in at.values() for x in p)
+    at = [tuple(r) for r in export.force_directed(users).collect()]
+    assert at == [tuple(r) for r in export.force_directed(users).collect()] and len(at) == 6 and all(0 <= x <= 1000 for _, *p in at for x in p)
+    with pytest.raises(ValueError):
+        export.force_directed(users, most=5)
+    with pytest.raises(ValueError):
+        export.to_json(n, e, most=4)
