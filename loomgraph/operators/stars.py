@@ -7,54 +7,36 @@ from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
 
-#: Neighbours beyond which a node is a hub, whose links don't meet in one task.
-HUB = 300
-#: Hubs whose least neighbours are broadcast at most (24 bytes each); more are joined by salted keys.
-MAX_HUBS, SALTS = 200_000, 32
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node with a smaller neighbour has one such and is nobody's smaller neighbour."""
+    ends = edges.select(F.col("a").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("centre")).unionAll(edges.select("b", F.lit(0), F.lit(1)))
+    return ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("centre").alias("centre")).where("up + centre > 1").where("up > 0").isEmpty()
 
-def _state(edges: DataFrame):
-    return edges.agg(F.count("a"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
 
+def _with_least(links: DataFrame, key: str, other: str) -> DataFrame:
+    """links with m, the smallest of a node's others (not above the node itself).
 
-def _with_least(links: DataFrame, key: str, other: str, hub: int) -> DataFrame:
-    """links with m, the smallest of a node's others (not above the node itself); hubs' links stay where they are.
-
-    The smallest is combined in the map tasks first, so only the join back
-    could gather a hub's links.
+    The smallest is combined in the map tasks first. The join back is by the
+    negated node, so that it gets shuffles of its own: Spark splits a hub's
+    partition there, which it can't in a stage that also ends an aggregation.
     """
-    own = cut(links.groupBy(F.col(key).alias("__k")).agg(F.least(F.min(other), F.first(key)).alias("m"), F.count(other).alias("n")))
-    hubs = own.where(F.col("n") > hub).select("__k", "m")
-    n = hubs.count()
-    on = F.col(key) == F.col("__k")
-    if not n:
-        return links.join(own.select("__k", "m"), on).drop("__k")
-    if n <= MAX_HUBS:
-        near = F.broadcast(hubs)
-        return links.join(near, on).drop("__k").unionByName(links.join(near, on, "left_anti").join(own.select("__k", "m"), on).drop("__k"))
-    salted = own.select("__k", "m", F.explode(F.sequence(F.lit(0), F.when(F.col("n") > hub, SALTS - 1).otherwise(0))).alias("__s"))
-    marked = links.join(hubs.select(F.col("__k").alias("__h")), F.col(key) == F.col("__h"), "left")  # Spark splits this join's large partitions
-    marked = marked.withColumn("__t", F.when(F.col("__h").isNull(), 0).otherwise(F.pmod(F.xxhash64(other), F.lit(SALTS))).cast("int")).drop("__h")
-    return marked.join(salted, on & (F.col("__t") == F.col("__s"))).drop("__k", "__s", "__t")
-
-
-def components(links: DataFrame, hub: int = HUB) -> DataFrame:
+    least = links.groupBy(F.bitwise_not(key).alias("__k")).agg(F.least(F.min(other), F.first(key)).alias("m")).select(F.bitwise_not("__k").alias("__n"), "m")
+    return links.join(least, F.col(key) == F.col("__n")).drop("__n")
+
+
+def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of links (a, b); root is the smallest node of its component.
 
     Each round joins every node's neighbours to the smallest one among them
     (first the larger neighbours, then the smaller), and is written to the
-    shared folder. Only counts and a checksum reach the driver. Self links
-    and nulls are ignored.
+    shared folder; links that are stars already end the search. Only a row
+    reaches the driver. Self links and nulls are ignored.
     """
     edges = cut(links.select(F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b")).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    state = _state(edges)
-    while state[0]:
+    while not _are_stars(edges):
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        large = _with_least(both, "u", "v", hub).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        small = _with_least(cut(large), "a", "b", hub).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
+        large = _with_least(both, "u", "v").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        small = _with_least(large, "a", "b").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
         edges = cut(small)
-        now = _state(edges)
-        if now == state:
-            break
-        state = now
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
