@@ -219,7 +219,7 @@ WIDE = 4
 #: Shards of a document, and least hashes that make the key of one.
 BANDS, ROWS = 10, 3
 #: Groups of more members, or of more shingles, are dealt into blocks.
-HOT_GROUP, HOT_SIZE = 1024, 1 << 22
+HOT_GROUP, HOT_SIZE = 256, 1 << 22
 _ODD = np.random.default_rng(42).integers(1, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
