@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.stars import components
-from .common import ASCII_LOWER, FEW, cut, drop_rows, fresh, map_arrow, raw_texts, row_key, shuffle_partitions, two_columns
+from .common import ASCII_LOWER, FEW, cut, drop_rows, fresh, map_arrow, raw_texts, row_key, shuffle_partitions, two_columns, written
 
 RADIUS = 2
 #: Shards of more fingerprints are dealt again by the rest of their bits.
@@ -220,6 +220,8 @@ WIDE = 4
 BANDS, ROWS = 10, 3
 #: Groups of more members, or of more shingles, are dealt into blocks.
 HOT_GROUP, HOT_SIZE = 1024, 1 << 22
+#: Candidates whose keys (24 bytes each) are broadcast to find their texts; with more, texts and keys meet by a shuffle.
+MAX_KEYS = 500_000
 _ODD = np.random.default_rng(42).integers(1, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -413,8 +415,12 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, words: int, similarity
     units = cut(units.withColumn("unit", F.monotonically_increasing_id()))
     shards = units.select(F.explode("keys").alias("key"), F.col("unit").alias("id"), F.lit(0).alias("size"), "fp")
     near = _roots_of_groups(shards, lambda i, fp: (i, int.from_bytes(fp, "big")), lambda values: groups_of(values, radius), hot, 1)
-    members = near.join(units.select(F.col("unit").alias("id"), "size", F.col("doc_id").alias("__i"), F.col("row").alias("__r")), F.col("node") == F.col("id"))
-    members = cut(members.select(F.col("root").alias("key"), "id", "size", "__i", "__r"))
+    members = cut(near.join(units.select(F.col("unit").alias("id"), "size"), F.col("node") == F.col("id")).select(F.col("root").alias("key"), "id", "size"))
+    # The texts of the candidates, read and written once; only beyond MAX_KEYS of them do all texts move for it.
+    wanted = units.join(members.select(F.col("id").alias("unit")), "unit", "left_semi").select("unit", F.col("doc_id").alias("__i"), F.col("row").alias("__r"))
+    wanted = F.broadcast(wanted) if members.count() <= MAX_KEYS else wanted
+    texts = own.join(wanted, (F.col("row") == F.col("__r")) & F.col("doc_id").eqNullSafe(F.col("__i"))).select("unit", "text")
+    texts = written(texts.groupBy("unit").agg(F.first("text").alias("text")), "candidates")  # repeated rows once
 
     def compared(i, text):
         h = shingle_set(text, words)
@@ -425,9 +431,7 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, words: int, similarity
         return groups_of(((i, v) for i, v, _ in values), radius, lambda v, other: jaccard(sets[v], sets[other]) >= similarity)
 
     def read(placed: DataFrame) -> DataFrame:
-        of = placed["__r"] == own["row"]
-        kept = [c for c in placed.columns if not c.startswith("__")]
-        return placed.join(own, of & placed["__i"].eqNullSafe(own["doc_id"])).select(*kept, "text").dropDuplicates([c for c in kept if c != "size"])
+        return placed.join(texts, placed["id"] == texts["unit"]).select(*placed.columns, "text")
 
     roots = _roots_of_groups(members, compared, verified, hot, hot_size, read)
     groups = units.join(roots, units["unit"] == roots["node"], "left").select("fp", "unit", F.coalesce("root", "unit").alias("root"))
@@ -447,7 +451,8 @@ def similar(docs: DataFrame, id_col="doc_id", text_col="text", words: int = 5, s
     corpus. In a shard a BK-tree of wide fingerprints finds what lies within
     radius_of(similarity). Only documents with such a candidate are read
     again: trees over each group of candidates compare their shingle sets.
-    Large shards and groups are dealt into blocks (_roots_of_groups).
+    Large shards and groups are dealt into blocks (_roots_of_groups), and the
+    texts of all candidates are written once for that.
 
     Groups are what links connect, so two documents of one need not be similar
     themselves. component_id is the smallest id of a group, null where all its
