@@ -28,6 +28,8 @@ MAGIC = b"LGPLANE1"
 BLOCK = 1 << 16
 CACHE = 400_000
 END_ID = 2
+#: Ids after which a task begins its next file; a file's indexes are held while it is written or read.
+FILE_IDS = 1 << 28
 
 
 def split_planes(ids: np.ndarray, mode: str) -> list[bytes]:
@@ -65,12 +67,14 @@ class PlaneWriter:
         self.buffer, self.held, self.at, self.blocks = [], 0, len(MAGIC), []
         self.doc_ids: list[int | None] = []
         self.sizes: list[int] = []
+        self.ids = 0
         out.write(MAGIC)
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
         """Append one document; ids are little-endian unsigned 32-bit integers."""
         self.doc_ids.append(doc_id)
         self.sizes.append(len(ids) // 4)
+        self.ids += len(ids) // 4
         self.buffer.append(ids)
         self.held += len(ids)
         if self.held >= 4 * BLOCK:
@@ -226,13 +230,14 @@ def _at(path: str):
     return fs.FileSystem.from_uri(path if ":" in path.split("/")[0] else f"file://{path}")
 
 
-def write(docs: DataFrame, folder: str, path: str, end_id: int = END_ID, mode: str = "byte", id_col="doc_id", text_col="text") -> list[tuple[str, int, int, int]]:
+def write(docs: DataFrame, folder: str, path: str, end_id: int = END_ID, mode: str = "byte", id_col="doc_id", text_col="text", file_ids: int = FILE_IDS) -> list[tuple[str, int, int, int]]:
     """Encode docs and write files in ascending order of the id; returns (file, first id, documents, ids) of each.
 
     The documents move once, to ranges of (id, crc32 of the text), so an id
-    that many rows share is dealt over tasks. A task streams its range into one
-    file under a name of its own, renamed when it is whole: a task that runs
-    again replaces its file by the same bytes. Null ids come first; null texts
+    that many rows share is dealt over tasks. A task streams its range into
+    files of about file_ids ids, whatever the size of the range, each under a
+    name of its own that is changed when it is whole: a task that runs again
+    replaces its files by the same bytes. Null ids come first; null texts
     have the end id only; rows with equal ids are in the order of their texts'
     crc32 and then texts. The driver learns one row a file.
     """
@@ -246,25 +251,32 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int = END_ID, mode: s
 
         own, part, tail = encoder(path), TaskContext.get().partitionId(), np.array([end_id], "<u4").tobytes()
         store, base = _at(folder)
-        name, out, writer = f"ids-{part:06d}.planes", None, None
-        temporary = f"{base}/.{name}.{uuid.uuid4().hex}"
+        writer, name, k = None, "", 0
+
+        def whole():
+            footer = writer.close()
+            writer.out.close()
+            store.move(temporary, f"{base}/{name}")
+            return pa.RecordBatch.from_arrays([pa.array([x]) for x in (part, k, f"{folder}/{name}", footer["docs"], footer["ids"])], ["part", "k", "file", "docs", "ids"])
+
         for b in batches:
-            if b.num_rows and writer is None:
-                store.create_dir(base, recursive=True)
-                out = store.open_output_stream(temporary)
-                writer = PlaneWriter(out, mode)
             for at in range(0, b.num_rows, 1000):
                 some = b.slice(at, 1000)
                 for i, ids in zip(some.column("doc_id").to_pylist(), own.encode_all(raw_texts(some.column("text"))), strict=True):
+                    if writer is None:
+                        store.create_dir(base, recursive=True)
+                        name = f"ids-{part:06d}-{k:04d}.planes"
+                        temporary = f"{base}/.{name}.{uuid.uuid4().hex}"
+                        writer = PlaneWriter(store.open_output_stream(temporary), mode)
                     writer.add(i, ids + tail)
+                    if writer.ids >= file_ids:
+                        yield whole()
+                        writer, k = None, k + 1
         if writer is not None:
-            footer = writer.close()
-            out.close()
-            store.move(temporary, f"{base}/{name}")
-            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (part, f"{folder}/{name}", footer["docs"], footer["ids"])], ["part", "file", "docs", "ids"])
+            yield whole()
 
     files, first = [], 0
-    for r in sorted(map_arrow(dealt.select("doc_id", "text"), run, "part bigint, file string, docs bigint, ids bigint").collect(), key=lambda r: r.part):
+    for r in sorted(map_arrow(dealt.select("doc_id", "text"), run, "part bigint, k bigint, file string, docs bigint, ids bigint").collect(), key=lambda r: (r.part, r.k)):
         files.append((r.file, first, r.docs, r.ids))
         first += r.ids
     return files

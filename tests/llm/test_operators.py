@@ -383,10 +383,11 @@ def library_ids(text):
     return _library.encode(text or "", add_special_tokens=False).ids
 
 
-@pytest.mark.parametrize("mode", ["byte", "bit"])
-def test_token_files(docs, rows, mode, tmp_path):
+@pytest.mark.parametrize(("mode", "file_ids"), [("byte", tokenbin.FILE_IDS), ("byte", 500), ("bit", tokenbin.FILE_IDS)])
+def test_token_files(docs, rows, mode, file_ids, tmp_path):
     some = docs.where("doc_id IS NULL OR doc_id <> 110")
-    got = tokenbin.read(docs.sparkSession, files := tokenbin.write(some, str(tmp_path / "out"), WORD_FILE, mode=mode), with_ids=True).collect()
+    got = tokenbin.read(docs.sparkSession, files := tokenbin.write(some, str(tmp_path / "out"), WORD_FILE, mode=mode, file_ids=file_ids), with_ids=True).collect()
+    assert (len(files) > 8) == (file_ids == 500)
     crc = lambda t: zlib.crc32((t or "").encode())
     want, at = [], 0
     for i, t, _ in sorted((r for r in rows if r[0] != 110), key=lambda r: (r[0] is not None, r[0] or 0, crc(r[1]), r[1] is not None)):
