@@ -7,7 +7,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import percentile_disc_floor
+from ..functions.scalar import percentile_disc
 from ..graph import PropertyGraph
 from ..plans.cypher import cypher
 from .paths import hops
@@ -107,7 +107,7 @@ class NodeSet:
         return self.df.agg(F.percentile(f"`{key}`", F.lit(q))).first()[0] if 0 <= q <= 1 else None
 
     def percentile_disc(self, key: str, q: float) -> float | None:
-        return self.df.agg(percentile_disc_floor(F.col(f"`{key}`"), q)).first()[0] if 0 <= q <= 1 else None
+        return percentile_disc(self.df, {}, F.col(f"`{key}`"), q).first()[0] if 0 <= q <= 1 else None
 
     def stdev(self, key: str) -> float | None:
         """Of the sample; null below two values."""

@@ -14,7 +14,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import FUNCTIONS, percentile_disc_floor
+from ..functions.scalar import FUNCTIONS, percentile_disc, percentile_disc_floor
 from ..graph import PropertyGraph, union
 from ..operators.paths import hops
 from .lineage import cut
@@ -353,8 +353,14 @@ class Compiler:
                 wanted = [(n, c if self.aggregates(x) else F.min_by(c, F.struct(*ids)), x) for n, c, x in out]
             else:
                 wanted = [(n, c, x) for n, c, x in out if self.aggregates(x)]
-            aggs = [c.alias(n) for n, c, x in wanted if not any(x == k for _, _, k in keys)] + [c.alias(n) for n, c in hidden]
+            disc = {n: x for n, _, x in wanted if x.op == "call" and x.args[0] == "percentiledisc"}
+            aggs = [c.alias(n) for n, c, x in wanted if n not in disc and not any(x == k for _, _, k in keys)] + [c.alias(n) for n, c in hidden]
             df = s.df.groupBy(*[c.alias(n) for n, c, _ in keys]).agg(F.count(F.lit(1)).alias("__n"), *aggs)
+            for n, x in disc.items():
+                q = x.args[2].args[0] if len(x.args) > 2 else 0.5
+                found = percentile_disc(s.df, {k: c for k, c, _ in keys}, self.expr(x.args[1], s), q, n).withColumnsRenamed({k: f"__d{k}" for k, _, _ in keys})
+                on = [F.col(k).eqNullSafe(F.col(f"__d{k}")) for k, _, _ in keys]
+                df = df.join(found, on, "left").drop(*[f"__d{k}" for k, _, _ in keys]) if on else df.join(found, how="left")
             if not keys:
                 df = df.where("__n > 0")  # no match, no row
             by = {n: next(g for g, _, k in keys if k == x) for n, _, x in out if any(k == x for _, _, k in keys)}
