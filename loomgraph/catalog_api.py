@@ -270,7 +270,7 @@ def path_between_ends(spark, sf):
     return paths.path_between(_users(spark, sf), USER, USER + 2, ("NEXT",)).select(F.size("nodes").alias("nodes"), F.size("rels").alias("rels"))
 
 
-@_add("bfs_by_type", "SELECT 'n' AS kind, n_nationkey AS k, 1 AS depth FROM nation WHERE n_nationkey = (SELECT c_nationkey FROM customer WHERE c_custkey = 10) UNION ALL SELECT 'r', n_regionkey, 2 FROM nation WHERE n_nationkey = (SELECT c_nationkey FROM customer WHERE c_custkey = 10) UNION ALL SELECT 'c', 10, 0")
+@_add("bfs_by_type", "SELECT 'n' AS kind, n_nationkey::BIGINT AS k, 1 AS depth FROM nation WHERE n_nationkey = (SELECT c_nationkey FROM customer WHERE c_custkey = 10) UNION ALL SELECT 'r', n_regionkey, 2 FROM nation WHERE n_nationkey = (SELECT c_nationkey FROM customer WHERE c_custkey = 10) UNION ALL SELECT 'c', 10, 0")
 def bfs_by_type(spark, sf):
     e = from_star_schema(spark, sf, ("Region", "Nation", "Customer", "Order")).edges(("IN_NATION", "IN_REGION"))
     kind = F.when(F.col("id") < SHIFT, "r").when(F.col("id") < 2 * SHIFT, "n").otherwise("c")
