@@ -12,7 +12,7 @@ from operator import itemgetter
 from pyspark.sql import DataFrame
 
 from .common import map_arrow, two_columns
-from .prefixbpe import PrefixTable, Recent, Vocabulary, groups
+from .prefixbpe import ByteTable, PrefixTable, Recent, Vocabulary, groups
 
 #: Entries of each half of a worker's caches.
 CACHE = 250_000
@@ -44,12 +44,12 @@ class ByteBPE:
 
     def _pieces(self, pieces: list[str]) -> dict[str, bytes]:
         """Ids of each piece; in sorted order one table serves all, as neighbours share prefixes."""
-        out, table = {}, PrefixTable(self.vocabulary)
+        out, table = {}, ByteTable(self.vocabulary)
         for piece in sorted(pieces):
             data = piece.encode("utf-8")
             i = self.ids.get(data)  # as the library does, a piece that is a token is that token
             if i is None:
-                table.become([data[k : k + 1] for k in range(len(data))])
+                table.become(data)
                 out[piece] = array("I", table.tokens()).tobytes()
             else:
                 out[piece] = array("I", (i,)).tobytes()

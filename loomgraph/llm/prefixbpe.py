@@ -152,6 +152,52 @@ class PrefixTable:
         return out[::-1]
 
 
+class ByteTable:
+    """What a PrefixTable holds of a piece whose symbols are its bytes, for going from one piece to the next."""
+
+    def __init__(self, vocabulary: Vocabulary) -> None:
+        self.v, self.raw, self.last, self.ids = vocabulary, b"", [0], [-1]
+
+    def become(self, raw: bytes) -> None:
+        """Keeps the prefix that the pieces share."""
+        old, last, ids, v = self.raw, self.last, self.ids, self.v
+        n, most = 0, min(len(old), len(raw))
+        if old[:most] == raw[:most]:
+            n = most
+        else:
+            while old[n] == raw[n]:
+                n += 1
+        del last[n + 1 :], ids[n + 1 :]
+        self.raw = raw
+        ends, fit, longest, found, length = v.ends.get, v.fit.get, v.longest, ids.append, last.append
+        for end in range(n + 1, len(raw) + 1):
+            for j in range(end - 1, max(-1, end - 1 - longest), -1):
+                token = ends(raw[j:end])
+                if token is None:
+                    raise ValueError(f"no token ends with {raw[end - 1 : end]!r}")
+                if token >= 0:
+                    ok = fit((ids[j] + 1) << 32 | token)
+                    if ok is None:
+                        ok = v.fits(ids[j], _single(raw[j - last[j] : j]), token, _single(raw[j:end]))
+                    if ok:
+                        break
+            else:
+                raise ValueError(f"no token ends with {raw[end - 1 : end]!r}")
+            length(end - j)
+            found(token)
+
+    def tokens(self) -> list[int]:
+        at, out = len(self.raw), []
+        while at:
+            out.append(self.ids[at])
+            at -= self.last[at]
+        return out[::-1]
+
+
+def _single(raw: bytes) -> list[bytes]:
+    return [raw[k : k + 1] for k in range(len(raw))]
+
+
 class Recent:
     """Values of a bounded number of keys, made for many keys at once.
 
