@@ -85,7 +85,7 @@ class PlaneWriter:
             self.buffer, self.held = [data[whole:]], len(data) - whole
 
     def _block(self, data: bytes) -> None:
-        planes = [self.pack(p) if any(p) else b"" for p in split_planes(np.frombuffer(data, "<u4"), self.mode)]
+        planes = [self.pack(p) if p.count(0) < len(p) else b"" for p in split_planes(np.frombuffer(data, "<u4"), self.mode)]
         self.blocks.append([self.at, len(data) // 4, *map(len, planes)])
         for p in planes:
             self.out.write(p)
