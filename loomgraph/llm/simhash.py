@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from ..operators.stars import components
 from .common import ASCII_LOWER, FEW, cut, drop_rows, fresh, map_arrow, raw_texts, row_key, shuffle_partitions, two_columns, written
+from .urlfilter import bloom_blocks, maybe_listed
 
 RADIUS = 2
 #: Shards of more fingerprints are dealt again by the rest of their bits.
@@ -220,8 +221,8 @@ WIDE = 4
 BANDS, ROWS = 10, 3
 #: Groups of more members, or of more shingles, are dealt into blocks.
 HOT_GROUP, HOT_SIZE = 1024, 1 << 22
-#: Candidates whose keys (24 bytes each) are broadcast to find their texts; with more, texts and keys meet by a shuffle.
-MAX_KEYS = 500_000
+#: Blocks, of 64 bits, of the Bloom filter that picks the candidates' texts before they move; more candidates make more false positives, which the join removes.
+MAX_WORDS = 1 << 18
 _ODD = np.random.default_rng(42).integers(1, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -416,11 +417,13 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, words: int, similarity
     shards = units.select(F.explode("keys").alias("key"), F.col("unit").alias("id"), F.lit(0).alias("size"), "fp")
     near = _roots_of_groups(shards, lambda i, fp: (i, int.from_bytes(fp, "big")), lambda values: groups_of(values, radius), hot, 1)
     members = cut(near.join(units.select(F.col("unit").alias("id"), "size"), F.col("node") == F.col("id")).select(F.col("root").alias("key"), "id", "size"))
-    # The texts of the candidates, read and written once; only beyond MAX_KEYS of them do all texts move for it.
-    wanted = units.join(members.select(F.col("id").alias("unit")), "unit", "left_semi").select("unit", F.col("doc_id").alias("__i"), F.col("row").alias("__r"))
-    wanted = F.broadcast(wanted) if members.count() <= MAX_KEYS else wanted
-    texts = own.join(wanted, (F.col("row") == F.col("__r")) & F.col("doc_id").eqNullSafe(F.col("__i"))).select("unit", "text")
-    texts = written(texts.groupBy("unit").agg(F.first("text").alias("text")), "candidates")  # repeated rows once
+    # The texts of the candidates, read and written once. Their keys grow with the input, so they meet the texts by a shuffle; a filter of bounded size, which is all that is broadcast, keeps other texts out of it.
+    wanted = cut(units.join(members.select(F.col("id").alias("unit")), "unit", "left_semi").select("unit", F.col("doc_id").alias("__i"), F.col("row").alias("__r")))
+    size = min(MAX_WORDS, 1 << max(4, (wanted.count() // 4).bit_length()))
+    some = maybe_listed(own.withColumn("key", F.col("row")), bloom_blocks(wanted.select(F.col("__r").alias("key")), size), size).where("key IS NOT NULL")
+    same_id = F.coalesce(F.col("doc_id") == F.col("__i"), F.col("doc_id").isNull() & F.col("__i").isNull())  # no key of the join, so that its shuffle serves the grouping too
+    texts = some.join(wanted, (F.col("row") == F.col("__r")) & same_id).groupBy("row", "unit").agg(F.first("text").alias("text"))  # repeated rows once
+    texts = written(texts.select("unit", "text"), "candidates")
 
     def compared(i, text):
         h = shingle_set(text, words)

@@ -697,3 +697,17 @@ def test_sharding_parts_a_hot_group(spark):
 
 def test_pattern_module_agrees():
     assert regex.findall(public_tokenizers.PATTERN, "a b's") == ["a", " b", "'s"]
+
+
+def test_keys_of_candidates_are_not_broadcast(spark, monkeypatch):
+    """All that is broadcast is a filter of bounded size, however many near copies there are; a filter too small for them loses none."""
+    from pyspark.sql import functions
+
+    sizes, broadcast = [], functions.broadcast
+    monkeypatch.setattr(functions, "broadcast", lambda df: (sizes.append(df.count()), broadcast(df))[1])
+    monkeypatch.setattr(simhash, "MAX_WORDS", 16, raising=False)
+    texts = [" ".join(f"w{k}x{j}" for j in range(40)) + end for k in range(150) for end in ("", " end")]
+    df = spark.createDataFrame([(None if i == 0 else i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    got = sorted(r.doc_id for r in simhash.unique(df.unionAll(df)).collect())
+    assert got == [1, *range(2, 300, 2)]
+    assert sizes and max(sizes) <= 16
