@@ -553,3 +553,14 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(ValueError):
         lineage.shared_dir(Session())
+
+
+def test_depth_first_order_of_more_than_a_million_edges(spark):
+    """The edges needn't fit the driver: 1,100,000 of them, which were an error; smaller neighbours first, depths, no edges, a chain."""
+    n = 1_100_000
+    e = spark.range(n).select(F.lit(0).cast("bigint").alias("src"), (F.col("id") % (n // 2) + 1).alias("dst"), F.col("id").alias("k")).select("src", F.when(F.col("k") < n // 2, F.col("dst")).otherwise(F.col("dst") + n).alias("dst"))
+    order = paths.dfs(e.union(spark.createDataFrame([(5, 3), (5, 0), (1, 2_000_000_000), (None, 3)], "src bigint, dst bigint")), 0)
+    assert order[:4] == [0, 1, 2_000_000_000, 2] and len(order) == n + 2 and order[3:n // 2 + 2] == list(range(2, n // 2 + 1))
+    chain = spark.range(50).select("id", (F.col("id") + 1).alias("dst")).toDF("src", "dst")
+    assert paths.dfs(chain, 0) == list(range(51)) and paths.dfs(chain, 7, 3) == [7, 8, 9, 10] and paths.dfs(chain, 7, 0) == [7]
+    assert paths.dfs(chain.limit(0), 4) == [4] and paths.dfs(chain, 50) == [50] and paths.dfs(chain, -1) == [-1]
