@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import tempfile
+
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
 from . import stars
+from .compact import adjacency
 
 
 def ids(vertices: DataFrame) -> DataFrame:
@@ -196,19 +200,113 @@ def is_strongly_connected(vertices: DataFrame, edges: DataFrame) -> bool:
     return strong_components(vertices, edges).select("component").distinct().count() <= 1
 
 
+#: Edges up to which betweenness gives every task the graph (8 bytes an edge); larger graphs are searched by joins.
+TASK_EDGES = 1 << 23
+
+
+def _betweenness_of_tasks(begin: DataFrame, e: DataFrame, exact: bool) -> DataFrame:
+    """(id, delta): sums over the sources (id) of a task, each searched by itself in arrays of the whole graph; nothing is held for a pair."""
+    sc = e.sparkSession.sparkContext
+    with tempfile.TemporaryDirectory(prefix="loomgraph-") as folder:
+        ids, ends, heads = adjacency(e, folder)
+        small = heads.astype(np.int32)  # TASK_EDGES has few enough nodes
+    tails = np.repeat(np.arange(len(ids), dtype=np.int32), np.diff(ends))
+    by_head = np.argsort(small, kind="stable")  # so the predecessors of a node come in order
+    graph = sc.broadcast((ids, ends, small, np.searchsorted(small[by_head], np.arange(len(ids) + 1)), tails[by_head]))
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        ids, ends, heads, in_ends, preds = graph.value
+        n, score = len(ids), np.zeros(len(ids))
+
+        def spread(at, ends, others):
+            """(k, other): for the k-th of the nodes each of its neighbours, in order."""
+            count = ends[at + 1] - ends[at]
+            k = np.repeat(np.arange(len(at)), count)
+            return k, others[np.arange(len(k)) + np.repeat(ends[at] - np.cumsum(count) + count, count)]
+
+        def search(source):
+            depth, sigma, place = np.full(n, -1, np.int32), np.zeros(n), np.empty(n, np.int64)
+            depth[source], sigma[source], levels, level, left = 0, 1, [], np.array([source]), n - 1
+            while len(level) and left:
+                if not exact and (ends[level + 1] - ends[level]).sum() > 4 * left:  # most are in the level: look from those not yet found
+                    rest, src, dst, k = np.flatnonzero(depth < 0), [], [], 0
+                    while len(rest):
+                        rest = rest[in_ends[rest] + k < in_ends[rest + 1]]
+                        if k < 16:
+                            p = preds[in_ends[rest] + k]
+                            hit = depth[p] == len(levels)
+                            src.append(p[hit])
+                            dst.append(rest[hit])
+                            rest, k = rest[~hit], k + 1
+                        else:
+                            j, p = spread(rest, in_ends, preds)
+                            hit = depth[p] == len(levels)
+                            j, first = np.unique(j[hit], return_index=True)
+                            src.append(p[hit][first])
+                            dst.append(rest[j])
+                            rest = rest[:0]
+                    src, dst = np.concatenate([level[:0], *src]), np.concatenate([level[:0], *dst])
+                    new = np.sort(dst)
+                else:
+                    j, dst = spread(level, ends, heads)
+                    fresh = depth[dst] < 0
+                    src, dst = level[j[fresh]], dst[fresh]
+                    at = np.arange(len(dst))
+                    place[dst[::-1]] = at[::-1]  # the first edge to a node, that of the smallest parent, is written last
+                    first = place[dst] == at
+                    new = np.sort(dst[first])
+                    if exact:
+                        np.add.at(sigma, dst, sigma[src])
+                    else:
+                        src, dst = src[first], dst[first]
+                depth[new] = len(levels) + 1
+                left -= len(new)
+                levels.append((src, dst))
+                level = new
+            delta = np.zeros(n)
+            for src, dst in reversed(levels):
+                np.add.at(delta, src, (sigma[src] / sigma[dst] if exact else 1) * (1 + delta[dst]))
+            delta[source] = 0
+            return delta
+
+        for b in batches:
+            own = b.column(0).to_numpy(zero_copy_only=False)
+            at = np.searchsorted(ids, own)
+            for source in at[(at < n) & (ids[np.minimum(at, n - 1)] == own)].tolist() if n else []:
+                score += search(source)
+        some = np.flatnonzero(score)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(score[some])], ["id", "delta"])
+
+    tasks = int(e.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut(begin.select(F.col("id").cast("bigint")).repartition(tasks).mapInArrow(run, "id bigint, delta double").groupBy("id").agg(F.sum("delta").alias("delta")))
+
+
 def betweenness(vertices: DataFrame, edges: DataFrame, exact: bool = False, sources: DataFrame | None = None) -> DataFrame:
     """(id, centrality) over all ordered pairs, divided by (n-1)(n-2).
 
     For each pair one shortest path counts, the one whose parents are smallest;
-    exact shares the pair among all its shortest paths. All sources advance
-    together: the state is (source, id) pairs, so this is for graphs whose
-    square fits the cluster. With `sources` (id) only pairs that start there
-    count, scaled up to all: an estimate whose state is sources times nodes.
+    exact shares the pair among all its shortest paths. Up to TASK_EDGES edges
+    sources are dealt to tasks, which hold the graph. Beyond, all sources
+    advance together by joins: the state is (source, id) pairs, so this is for
+    graphs whose square fits the cluster. With `sources` (id) only pairs that
+    start there count, scaled up to all: an estimate.
     """
     v = cut(ids(vertices))
     begin = v if sources is None else cut(v.join(sources.select("id").distinct(), "id", "left_semi"))
     n = v.count()
     e = cut(edges.where("src <> dst").select("src", "dst").distinct())
+    scores = _betweenness_of_tasks(begin, e, exact) if e.count() <= TASK_EDGES else _betweenness_by_joins(begin, e, exact)
+    out = v.withColumn("c", F.lit(0.0)).unionAll(scores)
+    by = float((n - 1) * (n - 2)) if n > 2 else 1.0
+    by *= 1.0 if sources is None else max(1, begin.count()) / n
+    return out.groupBy("id").agg((F.sum("c") / F.lit(by)).alias("centrality"))
+
+
+def _betweenness_by_joins(begin: DataFrame, e: DataFrame, exact: bool) -> DataFrame:
+    """(id, delta) over all sources at once, a row for each pair of a source and a node that it reaches."""
     level = cut(begin.select(F.col("id").alias("s"), "id", F.lit(0).alias("depth"), F.lit(None).cast("bigint").alias("parent"), F.lit(1.0).alias("sigma")))
     seen, depth = level, 0
     while True:
@@ -231,7 +329,6 @@ def betweenness(vertices: DataFrame, edges: DataFrame, exact: bool = False, sour
             given = here.select("s", F.col("parent").alias("id"), (1 + F.col("delta")).alias("delta"))
         flow = cut(given.groupBy("s", "id").agg(F.sum("delta").alias("delta")))
         scores = cut(scores)
-    out = v.withColumn("c", F.lit(0.0)) if scores is None else v.withColumn("c", F.lit(0.0)).unionAll(scores.groupBy("id").agg(F.sum("delta").alias("c")))
-    by = float((n - 1) * (n - 2)) if n > 2 else 1.0
-    by *= 1.0 if sources is None else max(1, begin.count()) / n
-    return out.groupBy("id").agg((F.sum("c") / F.lit(by)).alias("centrality"))
+    if scores is None:
+        return flow.select("id", "delta")
+    return scores.groupBy("id").agg(F.sum("delta").alias("delta"))

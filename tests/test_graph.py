@@ -564,3 +564,21 @@ def test_depth_first_order_of_more_than_a_million_edges(spark):
     chain = spark.range(50).select("id", (F.col("id") + 1).alias("dst")).toDF("src", "dst")
     assert paths.dfs(chain, 0) == list(range(51)) and paths.dfs(chain, 7, 3) == [7, 8, 9, 10] and paths.dfs(chain, 7, 0) == [7]
     assert paths.dfs(chain.limit(0), 4) == [4] and paths.dfs(chain, 50) == [50] and paths.dfs(chain, -1) == [-1]
+
+
+def test_betweenness_of_tasks_and_by_joins(spark, monkeypatch):
+    """Sources dealt to tasks and all sources by joins agree: dense, sparse, a hub, lone nodes, no edges. Tasks hold no pairs and need no rounds of joins."""
+    rng = random.Random(5)
+    dense = {(rng.randrange(40), rng.randrange(40)) for _ in range(500)}
+    sparse = {(k, k + 1) for k in range(50, 52)} | {(60, k) for k in range(61, 90)} | {(k, 60) for k in range(70, 85)} | {(3, 60)}
+    v = spark.range(95)
+    e = spark.createDataFrame([*dense, *sparse], "src bigint, dst bigint")
+    score = lambda **k: {r.id: round(r.centrality, 9) for r in algorithms.betweenness(v, e, **k).collect()}
+    joins, by_joins = [], algorithms._betweenness_by_joins
+    monkeypatch.setattr(algorithms, "_betweenness_by_joins", lambda *a: joins.append(1) or by_joins(*a))
+    got = [score(), score(exact=True)]
+    assert not joins
+    monkeypatch.setattr(algorithms, "TASK_EDGES", 10)
+    assert got == [score(), score(exact=True)] and len(joins) == 2
+    monkeypatch.undo()
+    assert {r.centrality for r in algorithms.betweenness(v, e.limit(0)).collect()} == {0.0}
