@@ -6,16 +6,15 @@ import base64
 import hashlib
 import re
 from array import array
-from functools import cache
 from operator import itemgetter
 
 from pyspark.sql import DataFrame
 
-from .common import map_arrow, two_columns
+from .common import lasting, map_arrow, two_columns
 from .prefixbpe import ByteTable, PrefixTable, Recent, Vocabulary, groups
 
-#: Entries of each half of a worker's caches.
-CACHE = 250_000
+#: Entries of each half of a worker's caches, and characters that are cut into pieces at once, for each such entry.
+CACHE, AT_ONCE = 250_000, 10
 #: Before a space that a non-space follows, no match of the pattern goes on; these are safe places to cut a text.
 _CUTS = re.compile(r" (?=\S)")
 _FIRST = itemgetter(0)
@@ -24,7 +23,7 @@ _FIRST = itemgetter(0)
 class ByteBPE:
     """Encoder and decoder of a rank file (base64 token, space, rank, per line) and a pattern that cuts texts into pieces."""
 
-    def __init__(self, path: str, pattern: str) -> None:
+    def __init__(self, path: str, pattern: str, entries: int = CACHE) -> None:
         import regex
 
         with open(path, "rb") as f:
@@ -35,8 +34,9 @@ class ByteBPE:
         ranks = self.ids
         self.vocabulary = Vocabulary(ranks, lambda a, b: ranks.get(a + b), max(map(len, ranks)))
         self.find = regex.compile(pattern).findall
-        self.pieces = Recent(self._pieces, CACHE)
-        self.segments = Recent(self._segments, CACHE)
+        self.pieces = Recent(self._pieces, entries)
+        self.segments = Recent(self._segments, entries)
+        self.most = AT_ONCE * entries
 
     def table(self, piece: bytes) -> PrefixTable:
         """The prefix table of one piece; it can be appended to and edited."""
@@ -61,7 +61,7 @@ class ByteBPE:
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """Ids of whole texts as little-endian 32-bit integers; none for null."""
         out: list[bytes] = []
-        for s, e in groups([len(t or "") for t in texts]):
+        for s, e in groups([len(t or "") for t in texts], self.most):
             out += map(b"".join, self.segments.all([_safe_cuts(t) if t else [] for t in texts[s:e]]))
         return out
 
@@ -86,24 +86,25 @@ def _safe_cuts(text: str) -> list[str]:
     return chunks
 
 
-@cache
-def codec(path: str, pattern: str) -> ByteBPE:
+@lasting
+def codec(path: str, pattern: str, entries: int = CACHE) -> ByteBPE:
     """One for each worker process and file, so that its caches live on from task to task."""
-    return ByteBPE(path, pattern)
+    return ByteBPE(path, pattern, entries)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col="doc_id", text_col="text", ids: bool = True) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, id_col="doc_id", text_col="text", ids: bool = True, entries: int = CACHE) -> DataFrame:
     """(doc_id, ids binary, n_tokens, ids_sha256, decoded_sha256) of every row; without the ids on request.
 
     ids are little-endian unsigned 32-bit integers. Null and empty texts have
     none. decoded_sha256 is of the bytes that the ids decode to. path is a file
-    that every executor has.
+    that every executor has. Fewer entries of the caches take less memory and
+    more time, and give the same ids.
     """
 
     def run(batches):
         import pyarrow as pa
 
-        own = codec(path, pattern)
+        own = codec(path, pattern, entries)
         for b in batches:
             for at in range(0, b.num_rows, 1000):
                 some = b.slice(at, 1000)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
+from functools import cache
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -72,8 +75,28 @@ def give_back() -> None:
         trim(0)
 
 
+_lasting: dict[str, list] = {}
+
+
+def lasting(make: Callable) -> Callable:
+    """functools.cache for what a worker keeps from task to task, until map_arrow gives it a task of another module: steps of one session share the workers, and what one keeps would take memory beside the next."""
+    kept = cache(make)
+    _lasting.setdefault(make.__module__, []).append(kept)
+    return kept
+
+
+def drop_others(module: str) -> None:
+    """Let go of what operators of other modules keep in this process."""
+    others = [f for m, kept in _lasting.items() if m != module for f in kept if f.cache_info().currsize]
+    for f in others:
+        f.cache_clear()
+    if others:
+        gc.collect()  # what is kept may hold itself
+        give_back()
+
+
 def map_arrow(df: DataFrame, run, schema, rows: int | None = None) -> DataFrame:
-    """mapInArrow, with this package at hand in the workers; run() gets slices of `rows` rows at most if given."""
+    """mapInArrow, with this package at hand in the workers; run() gets slices of `rows` rows at most if given, and finds only what its own module keeps (lasting)."""
     ship(df.sparkSession)
 
     def slices(batches):
@@ -82,6 +105,7 @@ def map_arrow(df: DataFrame, run, schema, rows: int | None = None) -> DataFrame:
                 yield b.slice(at, rows)
 
     def held(batches):
+        drop_others(run.__module__)
         yield from run(slices(batches) if rows else batches)
         give_back()
 

@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 import string
+import weakref
 import zlib
 from collections import Counter, defaultdict
 
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm import bytebpe, decontam, exactdedup, histsort, langid, linededup, simhash, tokenbin, tokencount, urlfilter
 from loomgraph.operators.stars import components
-from loomgraph.llm.common import row_key
+from loomgraph.llm.common import map_arrow, row_key
 from loomgraph.llm.langid import LanguageModel, Landmarks, has_letter, ngrams, ridge
 from loomgraph.llm.prefixbpe import PrefixTable
 
@@ -450,6 +451,39 @@ def test_byte_bpe_on_odd_texts(tik):
         assert own.decode(own.encode(t)) == t.encode()
 
 
+def test_byte_bpe_with_small_caches(docs, rows, tik):
+    own = bytebpe.codec(RANK_FILE, public_tokenizers.PATTERN, 200)
+    texts = [t for _, t, _ in rows]
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode_all(texts)] == [tik.encode_ordinary(t or "") for t in texts]
+    longest = max(len(set(bytebpe._safe_cuts(t))) for t in texts if t)
+    for c in (own.segments, own.pieces):
+        assert len(c.young) + len(c.old) <= 2 * (200 + longest + 10 * 200)
+    few = bytebpe.encode(docs, RANK_FILE, public_tokenizers.PATTERN, entries=200)
+    all_ = bytebpe.encode(docs, RANK_FILE, public_tokenizers.PATTERN)
+    assert few.exceptAll(all_).isEmpty() and few.count() == all_.count()
+
+
+def test_a_worker_keeps_the_caches_of_its_last_operator_only(spark):
+    class Frame:
+        sparkSession = spark
+
+        def mapInArrow(self, task, schema):
+            return list(task([]))
+
+    def encoding(batches):
+        yield bytebpe.codec(RANK_FILE, public_tokenizers.PATTERN)
+
+    def other(batches):
+        yield kept()
+
+    encoding.__module__ = bytebpe.encode.__module__
+    (first,), (second,) = (map_arrow(Frame(), encoding, "") for _ in range(2))
+    assert first is second
+    kept = weakref.ref(first)
+    del first, second
+    assert map_arrow(Frame(), other, "") == [None]
+
+
 def test_prefix_table_appends_and_edits(tik):
     own, rng = bytebpe.codec(RANK_FILE, public_tokenizers.PATTERN), random.Random(8)
     for _ in range(40):
